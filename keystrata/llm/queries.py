@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import orc_tokens, piece_counts, pow2_pack
+from . import cover_tree, matroska, orc_tokens, piece_counts, pow2_pack
 from ._common import shared_folder, table
 from .tokens import vocabulary
 
@@ -17,6 +18,10 @@ def op1_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.digests(orc_tokens.read_tokens(spark, path))
 
 
+def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -25,13 +30,37 @@ def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pow2_pack.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = cover_tree.quantised(table(spark, sf_dir, "embeddings"))
+    return cover_tree.top_k(vectors, F.coalesce(F.col("id") % 50 == 0, F.lit(False)), k=5)
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
+        "op2_matroska": op2_matroska,
         "op8_token_counts": op8_token_counts,
         "op9_pow2_packing": op9_pow2_packing,
+        "op10_cover_tree": op10_cover_tree,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_cover_tree": OP10_SQL}
