@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, matroska, orc_tokens, piece_counts, pow2_pack
+from . import cover_tree, matroska, minhash_bayes, orc_tokens, piece_counts, pow2_pack
 from ._common import shared_folder, table
 from .tokens import vocabulary
 
@@ -22,6 +22,30 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP4_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS x
+  FROM documents
+), s AS MATERIALIZED (
+  SELECT doc_id, unnest(CASE WHEN len(x) = 0 THEN [] WHEN len(x) < 5 THEN [array_to_string(x, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(x) - 3), lambda i: array_to_string(x[i:i + 4], ' '))) END) AS h
+  FROM w
+), n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+b AS (SELECT a.doc_id AS u, c.doc_id AS v, count(*) AS m FROM s a JOIN s c USING (h) WHERE a.doc_id < c.doc_id GROUP BY ALL),
+e AS MATERIALIZED (
+  SELECT u, v FROM b JOIN n nu ON nu.doc_id = u JOIN n nv ON nv.doc_id = v WHERE 100 * m >= 85 * (nu.n + nv.n - m)
+), g AS MATERIALIZED (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+r AS (SELECT u AS a, u AS z FROM g UNION SELECT r.a, g.v FROM r JOIN g ON g.u = r.z),
+c AS (SELECT a, min(z) AS z FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.z, d.doc_id) AS component_id, coalesce(c.z, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
+"""
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -56,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
         "op2_matroska": op2_matroska,
+        "op4_minhash_bayes": op4_minhash_bayes,
         "op8_token_counts": op8_token_counts,
         "op9_pow2_packing": op9_pow2_packing,
         "op10_cover_tree": op10_cover_tree,
@@ -63,4 +88,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_cover_tree": OP10_SQL}
+    return {"op4_minhash_bayes": OP4_SQL, "op10_cover_tree": OP10_SQL}
