@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, matroska, minhash_bayes, orc_tokens, piece_counts, pow2_pack
+from . import cover_tree, ftrl_quality, matroska, minhash_bayes, orc_tokens, piece_counts, pow2_pack
 from ._common import shared_folder, table
 from .tokens import vocabulary
 
@@ -46,6 +46,10 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ftrl_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -81,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_orc_tokens": op1_orc_tokens,
         "op2_matroska": op2_matroska,
         "op4_minhash_bayes": op4_minhash_bayes,
+        "op7_ftrl_quality": op7_ftrl_quality,
         "op8_token_counts": op8_token_counts,
         "op9_pow2_packing": op9_pow2_packing,
         "op10_cover_tree": op10_cover_tree,
