@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, ftrl_quality, matroska, minhash_bayes, orc_tokens, piece_counts, pow2_pack
+from . import cover_tree, ftrl_quality, matroska, minhash_bayes, orc_tokens, pii_boost, piece_counts, pow2_pack
 from ._common import shared_folder, table
 from .tokens import vocabulary
 
@@ -22,6 +22,10 @@ def op2_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_pii_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_boost.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_orc_tokens": op1_orc_tokens,
         "op2_matroska": op2_matroska,
+        "op3_pii_boost": op3_pii_boost,
         "op4_minhash_bayes": op4_minhash_bayes,
         "op7_ftrl_quality": op7_ftrl_quality,
         "op8_token_counts": op8_token_counts,
