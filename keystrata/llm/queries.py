@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, ftrl_quality, matroska, minhash_bayes, orc_tokens, pii_boost, piece_counts, pow2_pack
+from . import cover_tree, ftrl_quality, matroska, minhash_bayes, orc_tokens, pii_boost, piece_counts, pow2_pack, secret_forest, soft_mix
 from ._common import shared_folder, table
 from .tokens import vocabulary
 
@@ -50,6 +50,14 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = d.doc_id
 """
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.findings(table(spark, sf_dir, "documents"))
+
+
+def op6_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return soft_mix.rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -90,6 +98,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_matroska": op2_matroska,
         "op3_pii_boost": op3_pii_boost,
         "op4_minhash_bayes": op4_minhash_bayes,
+        "op5_secret_forest": op5_secret_forest,
+        "op6_soft_mix": op6_soft_mix,
         "op7_ftrl_quality": op7_ftrl_quality,
         "op8_token_counts": op8_token_counts,
         "op9_pow2_packing": op9_pow2_packing,
