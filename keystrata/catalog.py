@@ -1,6 +1,389 @@
-def queries():
-    return {}
+"""The registered queries over the driver's tables, and the SQL each must equal."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.hashing import seed_hex
+from .functions.keys import valid_key
+from .operators import cache, compaction, integrity, pruning, ratelimit, reads, sketches, versions
+from .sources import oplog, records, wal
+
+# The settings the queries run with.
+PREFIX, LOW, HIGH, KEY, PAGE = "u1", "u10", "u30", "u42", 2
+AS_OF = 1705367014
+SEGMENT, STEP, MINIMUM, LEVELS, CACHE = 5, 20, 4, 4, 14
+LIMIT_SECONDS, LIMIT_NUMBER, PAGE_SIZE = 86_400, 5, 5
+BLOOM_M, BLOOM_K = sketches.bloom_size(20, 0.01)
+CMS_M, CMS_K = sketches.cms_size(0.1, 0.01)
+HLL_P = 12
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+LOG = f"""
+ev AS (
+  SELECT *, 'u' || user_id || CASE event_type WHEN 'signup' THEN '-hll' WHEN 'view' THEN '-cms' ELSE '' END AS k FROM events
+), log AS (
+  SELECT k, split_part(k, '-', 1) AS base_key,
+         CASE WHEN ends_with(k, '-hll') THEN 'hll' WHEN ends_with(k, '-cms') THEN 'cms' ELSE 'string' END AS value_type,
+         CASE WHEN event_type = 'error' THEN '' ELSE CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) END AS value,
+         event_type = 'error' AS tombstone, CAST(floor(epoch(ts)) AS BIGINT) AS ts, event_id AS seq, event_id // {oplog.RUN_OPS} AS run
+  FROM ev
+), latest AS (
+  SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY ts DESC, seq DESC) AS n FROM log) WHERE n = 1
+), live AS (SELECT base_key, value_type, value, ts, seq FROM latest WHERE NOT tombstone),
+runs AS (
+  SELECT CAST(0 AS BIGINT) AS level, run AS gen, base_key, value_type, value, tombstone, ts, seq
+  FROM (SELECT *, row_number() OVER (PARTITION BY run, base_key ORDER BY ts DESC, seq DESC) AS n FROM log) WHERE n = 1
+), meta AS (SELECT level, gen, count(*) AS n, min(base_key) AS lo, max(base_key) AS hi FROM runs GROUP BY ALL)
+"""
+
+
+def query(sql: str | None = None, over_log: bool = True):
+    """Register a query under its function's name, with its SQL if there is one."""
+
+    def keep(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            SQL[f.__name__] = f"WITH RECURSIVE {LOG} {sql}" if over_log else sql
+        return f
+
+    return keep
+
+
+def hash_sql(x: str, k: int, m: int) -> str:
+    """A list of k seeded hashes of the SQL text expression x."""
+    return "[" + ", ".join(f"CAST(('0x' || substr(md5(CAST({x} AS BLOB) || unhex('{seed_hex(i)}')), 1, 16))::UBIGINT % {m} AS INTEGER)" for i in range(1, k + 1)) + "]"
+
+
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.level0(oplog.from_events(spark, sf_dir))
+
+
+# ------------------------------------------------------------------ views
+
+
+@query("SELECT * FROM live")
+def live_view(spark, sf_dir):
+    return versions.live(oplog.from_events(spark, sf_dir))
+
+
+@query(f"""SELECT base_key, value_type, value, ts, seq FROM (
+  SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY ts DESC, seq DESC) AS n FROM log WHERE ts <= {AS_OF}) WHERE n = 1 AND NOT tombstone""")
+def as_of_view(spark, sf_dir):
+    return versions.as_of(oplog.from_events(spark, sf_dir), AS_OF)
+
+
+@query(f"SELECT * FROM live WHERE base_key = '{KEY}'")
+def point_get(spark, sf_dir):
+    return reads.get(oplog.from_events(spark, sf_dir), KEY)
+
+
+@query(f"SELECT * FROM live WHERE base_key LIKE '{PREFIX}%'")
+def prefix_list(spark, sf_dir):
+    return reads.prefix(oplog.from_events(spark, sf_dir), PREFIX)
+
+
+@query(f"SELECT * FROM live WHERE base_key LIKE '{PREFIX}%' ORDER BY base_key LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE * (PAGE - 1)}")
+def prefix_page(spark, sf_dir):
+    return reads.page(reads.prefix(oplog.from_events(spark, sf_dir), PREFIX), PAGE, PAGE_SIZE)
+
+
+@query(f"SELECT * FROM live WHERE base_key BETWEEN '{LOW}' AND '{HIGH}'")
+def range_scan(spark, sf_dir):
+    return reads.between(oplog.from_events(spark, sf_dir), LOW, HIGH)
+
+
+@query(f"SELECT * FROM live WHERE base_key BETWEEN '{LOW}' AND '{HIGH}' ORDER BY base_key LIMIT {PAGE_SIZE} OFFSET {2 * PAGE_SIZE}")
+def range_page(spark, sf_dir):
+    return reads.page(reads.between(oplog.from_events(spark, sf_dir), LOW, HIGH), 3, PAGE_SIZE)
+
+
+@query(f"""SELECT row_number() OVER (ORDER BY base_key) + {PAGE_SIZE * (PAGE - 1)} AS row_no, base_key,
+  CASE value_type WHEN 'hll' THEN 'Hyper Log Log' WHEN 'cms' THEN 'Count min sketch' ELSE value END AS shown
+  FROM (SELECT * FROM live WHERE base_key LIKE '{PREFIX}%' ORDER BY base_key LIMIT {PAGE_SIZE} OFFSET {PAGE_SIZE * (PAGE - 1)})""")
+def display_page(spark, sf_dir):
+    return reads.shown(prefix_page(spark, sf_dir), PAGE, PAGE_SIZE)
+
+
+@query("SELECT base_key, value_type, value, tombstone, ts, seq FROM latest")
+def ordered_scan(spark, sf_dir):
+    return reads.ordered(oplog.from_events(spark, sf_dir))
+
+
+@query("SELECT value_type, count(*) AS n FROM live GROUP BY ALL")
+def type_counts(spark, sf_dir):
+    return reads.by_type(oplog.from_events(spark, sf_dir))
+
+
+@query("SELECT k, NOT contains(k, '-') AND trim(k) <> '' AS valid, count(*) AS n FROM log GROUP BY ALL")
+def key_validation(spark, sf_dir):
+    return oplog.from_events(spark, sf_dir).groupBy("k").agg(F.count("*").alias("n")).select("k", valid_key(F.col("k")).alias("valid"), "n")
+
+
+# -------------------------------------------------------------------- log
+
+
+def _wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wal.stamped(oplog.from_events(spark, sf_dir).select("k", "value", "tombstone", "ts", "seq"), SEGMENT)
+
+
+@query(f"SELECT k, value, tombstone, ts, seq, seq // {SEGMENT} + 1 AS segment FROM log")
+def wal_append(spark, sf_dir):
+    return _wal(spark, sf_dir).drop("crc")
+
+
+@query(f"SELECT 'wal_' || lpad(CAST(seq // {SEGMENT} + 1 AS VARCHAR), 5, '0') || '.log' AS segment, count(*) AS n FROM log GROUP BY ALL")
+def wal_segment_counts(spark, sf_dir):
+    return wal.segment_counts(_wal(spark, sf_dir))
+
+
+@query("SELECT base_key, value_type, value, tombstone, ts, seq FROM latest")
+def wal_replay(spark, sf_dir):
+    return wal.replayed(_wal(spark, sf_dir))
+
+
+@query(f"""SELECT k, seq, seq // {SEGMENT} + 1 - greatest(0, (SELECT max(seq // {SEGMENT} + 1) FROM log) - 2) AS segment
+  FROM log WHERE seq // {SEGMENT} + 1 > (SELECT max(seq // {SEGMENT} + 1) FROM log) - 2""")
+def wal_truncate(spark, sf_dir):
+    return wal.truncated(_wal(spark, sf_dir), 3).select("k", "seq", "segment")
+
+
+@query()
+def crc_check(spark, sf_dir):
+    return wal.checked(_wal(spark, sf_dir)).groupBy("valid").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT seq, lower(hex(encode(k))) AS key_hex, 29 + strlen(k) + strlen(value) AS bytes FROM log""")
+def record_codec(spark, sf_dir):
+    log = oplog.from_events(spark, sf_dir)
+    body = records.encoded(F.col("k"), F.col("value"), F.col("tombstone"), F.col("ts"))
+    return log.select("seq", F.lower(F.hex(F.substring(body, 30, F.length("k")))).alias("key_hex"), F.length(body).cast("long").alias("bytes"))
+
+
+# ------------------------------------------------------------------- runs
+
+
+@query("SELECT * FROM runs")
+def flush_runs(spark, sf_dir):
+    return _runs(spark, sf_dir)
+
+
+@query("SELECT * FROM meta")
+def run_meta(spark, sf_dir):
+    return pruning.run_meta(_runs(spark, sf_dir))
+
+
+@query("SELECT a.level, a.gen AS a, b.gen AS b FROM meta a JOIN meta b USING (level) WHERE a.gen < b.gen AND NOT (a.lo > b.hi OR a.hi < b.lo)")
+def run_overlap(spark, sf_dir):
+    return pruning.overlaps(pruning.run_meta(_runs(spark, sf_dir)))
+
+
+DENSE = "dense AS (SELECT level, gen, row_number() OVER (PARTITION BY level, gen ORDER BY base_key) - 1 AS i, base_key FROM runs)"
+
+
+@query(f", {DENSE} SELECT * FROM dense")
+def dense_index(spark, sf_dir):
+    return pruning.dense_index(_runs(spark, sf_dir))
+
+
+@query(f", {DENSE} SELECT * FROM dense WHERE i % {STEP} = 0")
+def sparse_summary(spark, sf_dir):
+    return pruning.sparse_summary(_runs(spark, sf_dir), STEP)
+
+
+@query(f"""SELECT gen, row_number() OVER (ORDER BY gen) - 1 AS new_gen, level FROM meta WHERE gen % 3 <> 0""")
+def renumber(spark, sf_dir):
+    return compaction.renumbered(_runs(spark, sf_dir).filter(F.col("gen") % 3 != 0))
+
+
+_T = f"""t0 AS (SELECT count(DISTINCT gen) AS n FROM runs),
+t AS (SELECT n AS n0, n // {MINIMUM} AS n1, n // {MINIMUM} // {MINIMUM} AS n2, n // {MINIMUM} // {MINIMUM} // {MINIMUM} AS n3 FROM t0),
+placed AS (
+  SELECT r.* EXCLUDE (level, gen), CASE WHEN gen >= n1 * {MINIMUM} THEN 0 WHEN gen // {MINIMUM} >= n2 * {MINIMUM} THEN 1 WHEN gen // {MINIMUM**2} >= n3 * {MINIMUM} THEN 2 ELSE 3 END AS level,
+    CASE WHEN gen >= n1 * {MINIMUM} THEN gen - n1 * {MINIMUM} WHEN gen // {MINIMUM} >= n2 * {MINIMUM} THEN gen // {MINIMUM} - n2 * {MINIMUM}
+         WHEN gen // {MINIMUM**2} >= n3 * {MINIMUM} THEN gen // {MINIMUM**2} - n3 * {MINIMUM} ELSE gen // {MINIMUM**3} END AS gen
+  FROM runs r, t
+), merged AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY level, gen, base_key ORDER BY ts DESC, seq DESC) AS n FROM placed) WHERE n = 1)"""
+
+
+@query(f""", {_T} SELECT CAST(level AS BIGINT) AS level, gen, base_key, value_type, value, tombstone, ts, seq FROM merged
+  WHERE NOT (tombstone AND gen = 0 AND level = (SELECT max(level) FROM placed)
+    AND ts < coalesce((SELECT min(ts) FROM placed WHERE NOT (gen = 0 AND level = (SELECT max(level) FROM placed))), {2**62}))""")
+def compact_size_tiered(spark, sf_dir):
+    return compaction.size_tiered(_runs(spark, sf_dir), MINIMUM, LEVELS)
+
+
+@query(f""", target AS (SELECT * FROM meta WHERE gen = 0),
+over AS (SELECT m.gen FROM meta m, target t WHERE NOT (m.lo > t.hi OR m.hi < t.lo) AND (SELECT count(*) FROM meta) >= {MINIMUM}),
+rest AS (SELECT gen, row_number() OVER (ORDER BY gen) - 1 AS new_gen FROM meta WHERE gen NOT IN (SELECT gen FROM over)),
+placed AS (SELECT r.* EXCLUDE (level, gen), CASE WHEN x.gen IS NULL THEN 1 ELSE 0 END AS level, coalesce(x.new_gen, 0) AS gen FROM runs r LEFT JOIN rest x ON x.gen = r.gen),
+merged AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY level, gen, base_key ORDER BY ts DESC, seq DESC) AS n FROM placed) WHERE n = 1)
+SELECT CAST(level AS BIGINT) AS level, gen, base_key, value_type, value, tombstone, ts, seq FROM merged
+WHERE NOT (tombstone AND level = 1 AND ts < coalesce((SELECT min(ts) FROM placed WHERE level = 0), {2**62}))""")
+def compact_leveled(spark, sf_dir):
+    return compaction.leveled(_runs(spark, sf_dir), MINIMUM, LEVELS)
+
+
+@query(""", target AS (SELECT * FROM meta WHERE gen = (SELECT max(gen) FROM meta)),
+over AS (SELECT m.gen FROM meta m, target t WHERE NOT (m.lo > t.hi OR m.hi < t.lo)),
+merged AS (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY ts DESC, seq DESC) AS n FROM runs WHERE gen IN (SELECT gen FROM over))
+SELECT CAST(0 AS BIGINT) AS level, (SELECT count(*) FROM meta WHERE gen NOT IN (SELECT gen FROM over)) AS gen, base_key, value_type, value, tombstone, ts, seq FROM merged WHERE n = 1""")
+def leveled_flush(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    last = runs.agg(F.max("gen").alias("m")).first()["m"]
+    return compaction.flush_merging(runs.filter(F.col("gen") == last), runs.filter(F.col("gen") < last))
+
+
+# ------------------------------------------------------- pruning and cache
+
+
+@query(f", x AS (SELECT DISTINCT base_key FROM log) SELECT DISTINCT unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM x")
+def bloom_bits(spark, sf_dir):
+    return sketches.bloom_bits(oplog.from_events(spark, sf_dir), "base_key", BLOOM_M, BLOOM_K)
+
+
+_BITS = f"x AS (SELECT DISTINCT base_key FROM runs WHERE gen = 0), bits AS (SELECT DISTINCT unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM x)"
+
+
+@query(f""", {_BITS}, p AS (SELECT 'u' || c_custkey AS base_key FROM customer), h AS (SELECT base_key, unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM p)
+SELECT base_key, count(*) = count(b.bit) AS may_contain FROM h LEFT JOIN bits b USING (bit) GROUP BY base_key""")
+def bloom_probe(spark, sf_dir):
+    bits = sketches.bloom_bits(_runs(spark, sf_dir).filter("gen = 0"), "base_key", BLOOM_M, BLOOM_K)
+    probes = oplog.table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("base_key"))
+    return sketches.bloom_probe(probes, "base_key", bits, BLOOM_M, BLOOM_K)
+
+
+_MORE_M, _MORE_K = sketches.bloom_size(500, 0.01)
+
+
+@query(f""", x AS (SELECT DISTINCT level, gen, base_key FROM runs), bits AS (SELECT DISTINCT level, gen, unnest({hash_sql('base_key', _MORE_K, _MORE_M)}) AS bit FROM x),
+w AS (SELECT DISTINCT unnest({hash_sql(f"'{KEY}'", _MORE_K, _MORE_M)}) AS bit)
+SELECT level, gen FROM bits JOIN w USING (bit) JOIN meta USING (level, gen) WHERE lo <= '{KEY}' AND hi >= '{KEY}' GROUP BY level, gen HAVING count(*) = (SELECT count(*) FROM w)""")
+def run_candidates(spark, sf_dir):
+    runs = _runs(spark, sf_dir)
+    return pruning.candidate_runs(runs, pruning.run_meta(runs), pruning.run_bloom(runs, _MORE_M, _MORE_K), KEY, _MORE_M, _MORE_K)
+
+
+@query(f""", a AS (SELECT seq, base_key, lag(seq) OVER (PARTITION BY base_key ORDER BY seq) AS prev, lead(seq) OVER (PARTITION BY base_key ORDER BY seq) AS next FROM log),
+-- between two uses of a key, the others used are those whose last use before now lies after the first
+d AS (SELECT a.seq, count(b.seq) AS n FROM a JOIN a b ON b.seq > a.prev AND b.seq < a.seq AND (b.next IS NULL OR b.next > a.seq) GROUP BY a.seq)
+SELECT a.seq, a.base_key, a.prev IS NOT NULL AND coalesce(d.n, 0) < {CACHE} AS hit FROM a LEFT JOIN d USING (seq)""")
+def lru_hits(spark, sf_dir):
+    return cache.lru_hits(oplog.from_events(spark, sf_dir), CACHE)
+
+
+# --------------------------------------------------------------- sketches
+
+
+_CELLS = f"c AS (SELECT base_key, count(*) AS n FROM log GROUP BY 1), h AS (SELECT base_key, n, unnest({hash_sql('base_key', CMS_K, CMS_M)}) AS j, unnest(range({CMS_K})) AS r FROM c), cells AS (SELECT CAST(r AS INTEGER) AS r, j, CAST(sum(n) AS BIGINT) AS c FROM h GROUP BY ALL)"
+
+
+@query(f", {_CELLS} SELECT * FROM cells")
+def cms_cells(spark, sf_dir):
+    return sketches.cms_cells(oplog.from_events(spark, sf_dir), "base_key", CMS_M, CMS_K)
+
+
+@query(f", {_CELLS} SELECT h.base_key, min(cells.c) AS estimate FROM h JOIN cells ON cells.r = h.r AND cells.j = h.j GROUP BY h.base_key")
+def cms_query(spark, sf_dir):
+    log = oplog.from_events(spark, sf_dir)
+    return sketches.cms_query(log, "base_key", sketches.cms_cells(log, "base_key", CMS_M, CMS_K), CMS_M, CMS_K)
+
+
+_REGISTERS = f"""x AS (SELECT DISTINCT md5(CAST(o_custkey AS VARCHAR)) AS x FROM orders),
+y AS (SELECT ascii(x[1]) * 16 + (ascii(x[2]) >> 4) AS bucket, ascii(x[32]) AS last FROM x),
+reg AS (SELECT CAST(bucket AS INTEGER) AS bucket, max(CAST(CASE WHEN last & 1 = 1 THEN 0 WHEN last & 3 = 2 THEN 1 WHEN last & 7 = 4 THEN 2 WHEN last & 15 = 8 THEN 3 WHEN last & 31 = 16 THEN 4 ELSE 5 END AS INTEGER)) AS rank FROM y GROUP BY 1)"""
+
+
+@query(f"WITH {_REGISTERS} SELECT * FROM reg", over_log=False)
+def hll_registers(spark, sf_dir):
+    return sketches.hll_registers(oplog.table(spark, sf_dir, "orders"), "o_custkey", HLL_P)
+
+
+@query(f"""WITH {_REGISTERS}, s AS (SELECT sum(pow(2.0, -rank)) AS s, count(*) FILTER (rank > 0) AS filled, count(*) AS seen FROM reg),
+e AS (SELECT *, 0.7213 / (1 + 1.079 / 4096.0::DOUBLE) * 4096 * 4096 / (s + 4096 - seen) AS raw, 4096.0::DOUBLE - filled AS v FROM s)
+SELECT CASE WHEN raw <= 2.5 * 4096 AND v > 0 THEN 4096 * ln(4096.0::DOUBLE / v) WHEN raw > 4294967296.0 / 30 THEN -4294967296.0 * ln(1 - raw / 4294967296.0) ELSE raw END AS estimate FROM e""", over_log=False)
+def hll_estimate(spark, sf_dir):
+    return sketches.hll_estimate(hll_registers(spark, sf_dir), HLL_P)
+
+
+@query()
+def hll_native(spark, sf_dir):
+    return sketches.hll_native(oplog.table(spark, sf_dir, "orders"), "o_custkey")
+
+
+_SIMHASH = """w AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), ' ')) AS word FROM documents),
+c AS (SELECT doc_id, md5(word) AS x, count(*) AS n FROM w GROUP BY ALL),
+h AS (SELECT doc_id, n, unnest(range(1, 33)) AS i, ascii(unnest(string_split(x, ''))) AS a FROM c),
+z AS (SELECT doc_id, i, b, sum(n * (2 * ((a >> (7 - b)) & 1) - 1)) AS s FROM h, range(8) t(b) GROUP BY ALL),
+bits AS (SELECT doc_id, string_agg(CASE WHEN s < 0 THEN '0' ELSE '1' END, '' ORDER BY i, b) AS bits FROM z GROUP BY doc_id)"""
+
+
+@query(f"WITH {_SIMHASH} SELECT * FROM bits", over_log=False)
+def simhash_bits(spark, sf_dir):
+    docs = oplog.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sketches.simhash(docs, "text").select("doc_id", "bits")
+
+
+@query(f"""WITH {_SIMHASH} SELECT a.doc_id, CASE WHEN b.bits IS NULL THEN -1 ELSE hamming(a.bits, b.bits) END AS distance
+FROM bits a LEFT JOIN bits b ON b.doc_id = a.doc_id + 1""", over_log=False)
+def simhash_hamming(spark, sf_dir):
+    bits = simhash_bits(spark, sf_dir)
+    other = bits.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bits").alias("next"))
+    return bits.join(other, "doc_id", "left").select("doc_id", sketches.hamming(F.col("bits"), F.col("next")).alias("distance"))
+
+
+@query("""WITH g AS (SELECT n, p, e, d FROM (VALUES (20), (500), (100000), (1000000)) a(n), (VALUES (0.1::DOUBLE), (0.01), (0.001)) b(p), (VALUES (0.1::DOUBLE), (0.001)) c(e), (VALUES (0.01::DOUBLE), (0.0001)) x(d)),
+m AS (SELECT *, CAST(ceil(n * abs(ln(p)) / pow(ln(2.0::DOUBLE), 2)) AS BIGINT) AS m FROM g)
+SELECT CAST(n AS BIGINT) AS n, p, e AS epsilon, d AS delta, m, CAST(ceil(m / n * ln(2.0::DOUBLE)) AS BIGINT) AS k, CAST(ceil(exp(1) / e) AS BIGINT) AS cms_m, CAST(ceil(ln(exp(1) / d)) AS BIGINT) AS cms_k FROM m""", over_log=False)
+def sketch_sizes(spark, sf_dir):
+    grid = spark.createDataFrame([(n, p, e, d) for n in (20, 500, 100_000, 1_000_000) for p in (0.1, 0.01, 0.001) for e in (0.1, 0.001) for d in (0.01, 0.0001)], "n long, p double, epsilon double, delta double")
+    return grid.select("n", "p", "epsilon", "delta", *sketches.size_columns(F.col("n"), F.col("p"), F.col("epsilon"), F.col("delta")))
+
+
+# ------------------------------------------------- integrity, flow control
+
+
+_TREE = """leaves AS (SELECT gen, list(unhex(sha1(value)) ORDER BY base_key) AS a FROM runs GROUP BY gen),
+tree AS (
+  SELECT gen, 0 AS up, a FROM leaves
+  UNION ALL
+  SELECT gen, up + 1, list_transform(range(1, (len(a) + 1) // 2 + 1), lambda i: unhex(sha1(a[2 * i - 1] || coalesce(a[2 * i], unhex(repeat('00', 20)))))) FROM tree WHERE len(a) > 1
+)"""
+
+
+@query(f", {_TREE} SELECT CAST(0 AS BIGINT) AS level, gen, lower(hex(a[1])) AS root FROM tree WHERE len(a) = 1")
+def merkle_root(spark, sf_dir):
+    return integrity.merkle_root(_runs(spark, sf_dir), "base_key", "value", "level", "gen")
+
+
+@query(f""", {_TREE}, flat AS (
+  SELECT gen, max(up) OVER (PARTITION BY gen) - up AS depth, CASE WHEN len(a) > 1 AND len(a) % 2 = 1 THEN list_append(a, unhex(repeat('00', 20))) ELSE a END AS a FROM tree)
+SELECT CAST(0 AS BIGINT) AS level, gen, CAST(depth AS INTEGER) AS depth, CAST(unnest(range(len(a))) AS INTEGER) AS i, lower(hex(unnest(a))) AS hash FROM flat""")
+def merkle_levels(spark, sf_dir):
+    return integrity.merkle_levels(_runs(spark, sf_dir), "base_key", "value", "level", "gen")
+
+
+@query(f""", o AS (SELECT base_key, ts, seq, row_number() OVER (PARTITION BY base_key ORDER BY ts, seq) AS n FROM log),
+r AS (
+  SELECT base_key, ts, seq, n, true AS accepted, [ts] AS passed FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.base_key, o.ts, o.seq, o.n, len(list_filter(r.passed, lambda x: o.ts - x < {LIMIT_SECONDS})) < {LIMIT_NUMBER},
+         CASE WHEN len(list_filter(r.passed, lambda x: o.ts - x < {LIMIT_SECONDS})) < {LIMIT_NUMBER} THEN list_append(list_filter(r.passed, lambda x: o.ts - x < {LIMIT_SECONDS}), o.ts) ELSE list_filter(r.passed, lambda x: o.ts - x < {LIMIT_SECONDS}) END
+  FROM r JOIN o ON o.base_key = r.base_key AND o.n = r.n + 1
+) SELECT base_key, ts, seq, accepted FROM r""")
+def rate_limit(spark, sf_dir):
+    return ratelimit.limited(oplog.from_events(spark, sf_dir), "base_key", LIMIT_SECONDS, LIMIT_NUMBER)
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
