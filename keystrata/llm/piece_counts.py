@@ -1,16 +1,17 @@
 """Token counts without token ids.
 
 1. Texts are normalised and cut into pre-tokens; a block of documents keeps
-   its distinct pre-tokens and the per-document frequencies of each.
-2. The distinct pre-tokens of all blocks are counted once each by the
-   library's model.
-3. The counts are joined to the blocks' pre-tokens, and every block sums
-   frequency times count per document.
-
-Only pre-tokens and counts are shuffled, once per block and not per document;
-a frequent pre-token has a row per block, and an adaptive join splits it. A
-pre-token that needs the library whole (beyond Latin-1, or with a special
-string) is its white-space chunk, marked.
+   its distinct pre-tokens, dealt into hash buckets, and the per-document
+   frequencies of each.
+2. A bucket brings the equal pre-tokens of all blocks together, and the
+   library's model counts each distinct one once.
+3. The counts return to their blocks, which sum frequency times count per
+   document.
+
+What is shuffled by pre-token is a block's short list per bucket, so a
+frequent word weighs no more than a rare one: buckets are of even size
+whatever the texts hold. A pre-token that needs the library whole (beyond
+Latin-1, or with a special string) is its white-space chunk, marked.
 
 Cases: a null text counts as empty, 0 bytes and 0 tokens; rows that share a
 doc_id, or have none, are counted separately; an empty table yields no rows;
@@ -19,17 +20,22 @@ other columns are left out.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, text_slices, whole_texts
-from .tokens import encoder
+from .tokens import byte_level, encoder
 
 _WHOLE = "\0"  # leads a pre-token that is encoded as text and not as one piece
+BUCKETS, BLOCK_BYTES, BLOCK_ROWS = 1024, 24 << 20, 1 << 16
+REMEMBERED = 300_000  # counts that a worker keeps at most
 
-BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, vocabulary array<string>, docs binary, terms binary, frequencies binary"
+BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, n_terms array<long>, vocabulary array<array<string>>, terms binary, frequencies binary"
+_KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.string())), pa.binary(), pa.binary()]
 
 
 def _parts(coder, text: str) -> list[str]:
@@ -41,67 +47,92 @@ def _parts(coder, text: str) -> list[str]:
     return [_WHOLE + x for x in text.replace("\n", " ").split(" ") if x]
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers as four runs of bytes, lowest first, which compress well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _numbers(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
 def frequency_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Blocks of documents with their pre-token frequencies as three columns
-    of equal length: document number, pre-token number, count."""
+    """Blocks of documents. A document has n_terms entries in ``terms``
+    (ascending pre-token numbers, as differences) and ``frequencies``; numbers
+    run through the buckets of ``vocabulary`` in order."""
 
     def run(batches):
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer, False)
-        for batch in text_slices(batches):
-            texts = batch.column("text").to_pylist()
+        for batch in text_slices(batches, max_bytes=BLOCK_BYTES, max_rows=BLOCK_ROWS):
             number: dict[str, int] = {}
-            keys = []
-            for i, text in enumerate(texts):
+            keys, sizes = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                sizes.append(len(text) if text.isascii() else len(text.encode()))
                 terms = np.fromiter((number.setdefault(x, len(number)) for x in _parts(coder, text)), np.int64)
                 keys.append(terms | i << 32)
-            pairs, counts = np.unique(np.concatenate(keys), return_counts=True)
-            sizes = [len(t) if t.isascii() else len(t.encode()) for t in texts]
-            row = [task << 32 | made, batch.column("doc_id").to_pylist(), sizes, list(number), (pairs >> 32).astype("<u2").tobytes(), (pairs & 0xFFFFFFFF).astype("<u4").tobytes(), counts.astype("<u4").tobytes()]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+            words = list(number)
+            bucket = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
+            order = np.argsort(bucket, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+            vocabulary = [[words[k] for k in order[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            flat = np.concatenate(keys)
+            pairs, counts = np.unique(flat & ~0xFFFFFFFF | place[flat & 0xFFFFFFFF], return_counts=True)
+            owner, term = pairs >> 32, pairs & 0xFFFFFFFF
+            steps = np.diff(term, prepend=0)
+            heads = np.diff(owner, prepend=-1) != 0
+            steps[heads] = term[heads]
+            row = [task << 32 | made, batch.column("doc_id").to_pylist(), sizes, np.bincount(owner, minlength=len(sizes)), vocabulary, _planes(steps), _planes(counts)]
             made += 1
-            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     return whole_texts(docs).mapInArrow(run, BLOCKS)
 
 
-def count_pieces(pre_tokens: DataFrame, tokenizer: str) -> DataFrame:
-    """``pieces`` of each row of the column pre_token."""
+def count_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
+    """block, bucket and ``pieces``, the counts of the list ``words`` in order.
+    Rows are dealt by bucket, so that one task has all of a pre-token."""
 
     def run(batches):
         coder = encoder(tokenizer, False)
+        known: dict[str, int] = {}
         for batch in batches:
-            counts = [len(coder.whole([x[1:]])[0]) // 4 if x[:1] == _WHOLE else len(coder.tokenizer.model.tokenize(_mapped(x))) for x in batch.column("pre_token").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("pre_token"), pa.array(counts, pa.int64())], names=["pre_token", "pieces"])
-
-    return pre_tokens.select("pre_token").mapInArrow(run, "pre_token string, pieces long")
-
-
-def _mapped(x: str) -> str:
-    from .tokens import byte_level
+            out = []
+            for words in batch.column("words").to_pylist():
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w in set(words).difference(known):
+                    known[w] = len(coder.whole([w[1:]])[0]) // 4 if w[:1] == _WHOLE else len(coder.tokenizer.model.tokenize(byte_level(w)))
+                out.append(_planes(np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "pieces"])
 
-    return byte_level(x)
+    dealt = lists.select("block", "bucket", "words").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "block long, bucket int, pieces binary")
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every document."""
     blocks = materialize(frequency_blocks(docs, tokenizer))
-    words = blocks.select("block", F.posexplode("vocabulary").alias("at", "pre_token"))
-    pieces = count_pieces(words.select("pre_token").distinct(), tokenizer)
-    counted = words.join(pieces, "pre_token").groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("counts"))
-    whole = blocks.select("block", "doc_ids", "n_bytes", "docs", "terms", "frequencies").join(counted, "block", "left").drop("block")
+    lists = blocks.select("block", F.posexplode("vocabulary").alias("bucket", "words")).filter(F.size("words") > 0)
+    counted = count_pieces(lists, tokenizer).groupBy("block").agg(F.collect_list(F.struct("bucket", "pieces")).alias("counts"))  # BUCKETS at most
+    whole = blocks.drop("vocabulary").join(counted, "block", "left").drop("block")
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                counts = row["counts"] or []
-                pieces = np.zeros(len(counts), np.int64)
-                pieces[[c["at"] for c in counts]] = [c["pieces"] for c in counts]
-                owner, term, times = (np.frombuffer(row[k], d) for k, d in (("docs", "<u2"), ("terms", "<u4"), ("frequencies", "<u4")))
-                totals = np.zeros(len(row["doc_ids"]), np.int64)
-                np.add.at(totals, owner, pieces[term] * times)
+                parts = sorted((c["bucket"], c["pieces"]) for c in row["counts"] or [])
+                pieces = np.concatenate([np.empty(0, np.int64), *(_numbers(x) for _, x in parts)])
+                n = np.array(row["n_terms"], np.int64)
+                steps, times = _numbers(row["terms"]), _numbers(row["frequencies"])
+                ends = np.cumsum(n)
+                sums = np.cumsum(steps)
+                before = np.concatenate(([0], sums))[ends - n]
+                weighed = np.concatenate(([0], np.cumsum(pieces[sums - np.repeat(before, n)] * times)))
+                totals = weighed[ends] - weighed[ends - n]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(row["n_bytes"], pa.int64()), pa.array(totals), pa.array(totals > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return whole.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
