@@ -164,10 +164,10 @@ def _redacted(threshold: float) -> Column:
 def redacted(docs: DataFrame, path: str = "source", threshold: float = 0.5) -> DataFrame:
     """``docs`` with each secret of ``text`` replaced, and n_chars, where there
     is one, counted anew; all rows stay."""
-    rows = with_votes(docs, F.col("text"), F.col(path).cast("string"), train(docs.sparkSession))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no name in it can clash
+    rows = with_votes(packed, F.col("row.text").cast("string"), F.col(f"row.`{path}`").cast("string"), train(docs.sparkSession))
     found = F.exists("__votes", lambda v: v >= threshold)
-    text = F.when(found, _redacted(threshold)).otherwise(F.col("text")).alias("text")
-    changed = {"text": text}
+    changed = {"text": F.when(found, _redacted(threshold)).otherwise(F.col("row.text")).alias("text")}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(found, F.length(_redacted(threshold)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars")
-    return rows.select(*(changed.get(c, F.col(f"`{c}`")) for c in docs.columns))
+        changed["n_chars"] = F.when(found, F.length(_redacted(threshold)).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return rows.select(*(changed.get(c, F.col(f"row.`{c}`").alias(c)) for c in docs.columns))

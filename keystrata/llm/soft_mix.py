@@ -39,15 +39,16 @@ def _vectors(df: DataFrame, bits: int) -> DataFrame:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, domain: str = "lang", most: int = 3000, bits: int = 14) -> tuple[DataFrame, list[str]]:
-    """``docs`` with __tokens and __posterior (array in the order of the
-    returned domains)."""
+    """The rows of ``docs`` as ``row`` with __tokens and __posterior (an array
+    in the order of the returned domains)."""
     order = F.xxhash64("doc_id", F.lit(23))
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
     chosen = ids.withColumn("__turn", order).orderBy("__turn", "doc_id").limit(most)  # of one number each
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(domain).cast("string").alias("domain"))
     sample = materialize(some.filter("domain is not null").join(F.broadcast(chosen), "doc_id").orderBy("__turn", "text").limit(most))
     domains = sorted(r["domain"] for r in sample.select("domain").distinct().collect())  # at most ``most``
-    rows = docs.withColumn("__words", _words(F.col("text").cast("string"))).withColumn("__tokens", F.size("__words").cast("long"))
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no name in it can clash
+    rows = packed.withColumn("__words", _words(F.col("row.text").cast("string"))).withColumn("__tokens", F.size("__words").cast("long"))
     if len(domains) < 2:
         return rows.withColumn("__posterior", F.array(F.lit(1.0))).drop("__words"), domains or [""]
     number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double") - 1
@@ -78,6 +79,8 @@ def fit(rows: DataFrame, tokens: str, posterior: str, weights: list[float] | Non
         sums = rows.agg(*(F.coalesce(F.sum(rate * F.col(tokens) * F.get(F.col(posterior), F.lit(d))), F.lit(0.0)).alias(f"d{d}") for d in range(domains))).first()
         return [float(x) for x in sums]
 
+    if weights is not None and len(weights) != domains:
+        raise ValueError(f"{len(weights)} weights for {domains} domains")
     mass = expected(F.lit(1.0))
     total = sum(mass)
     if total <= 0:
@@ -100,7 +103,7 @@ def fit(rows: DataFrame, tokens: str, posterior: str, weights: list[float] | Non
 def rates(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: list[float] | None = None, budget: float | None = 1.0, smoothing: float = 0.7, least: float = 0.0) -> DataFrame:
     """doc_id, n_tokens, posterior (array), rate and copies of every row."""
     scored, domains = posteriors(docs, labels, domain)
-    rows = materialize(scored.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__tokens").alias("n_tokens"), F.col("__posterior").alias("posterior")))
+    rows = materialize(scored.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("__tokens").alias("n_tokens"), F.col("__posterior").alias("posterior")))
     steps = fit(rows, "n_tokens", "posterior", weights, len(domains), budget, smoothing, least)
     return rows.withColumn("rate", rate_of(steps, "posterior", least)).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
 
@@ -114,9 +117,8 @@ def copies(rate: Column, key: Column) -> Column:
 def mixed(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: list[float] | None = None, smoothing: float = 0.7) -> DataFrame:
     """``docs`` with each row as often as its rate says, at least once: small
     domains are repeated and no document is dropped."""
-    names = docs.columns
     scored, domains = posteriors(docs, labels, domain)
     rows = materialize(scored)
     steps = fit(rows, "__tokens", "__posterior", weights, len(domains), None, smoothing, 1.0)
-    times = copies(rate_of(steps, "__posterior", 1.0), F.col("doc_id").cast("long"))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*(F.col(f"`{c}`") for c in names))
+    times = copies(rate_of(steps, "__posterior", 1.0), F.col("row.doc_id").cast("long"))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), times))).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
