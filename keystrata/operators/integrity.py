@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import little_endian
+from .ranking import positioned
 
 FOLD = 10  # levels folded at once
 _UP = "transform(sequence(0, (size(a) + 1) div 2 - 1), i -> unhex(sha1(concat(a[2 * i], coalesce(get(a, 2 * i + 1), unhex(repeat('00', 20)))))))"
@@ -28,11 +29,11 @@ def merkle_root(rows: DataFrame, order: str, value: str, *within: str) -> DataFr
     folded in blocks of 2^FOLD neighbours, a shuffle for each FOLD levels, so
     no task gathers a whole run.
     """
-    place = F.row_number().over(Window.partitionBy(*within).orderBy(order)) - 1
-    count = F.count("*").over(Window.partitionBy(*within))
-    nodes = rows.select(*within, place.alias("i"), count.alias("n"), F.unhex(F.sha1(F.col(value).cast("binary"))).alias("h"))
+    sizes = rows.groupBy(*within).agg(F.count("*").alias("n"))
+    top = sizes.agg(F.max("n")).first()[0] or 0
+    leaves = rows.select(*within, order, F.unhex(F.sha1(F.col(value).cast("binary"))).alias("h"))
+    nodes = positioned(leaves, order, *within).join(sizes, list(within)).select(*within, "i", "n", "h")
     most = 1
-    top = rows.groupBy(*within).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     while True:
         block = F.floor(F.col("i") / 2**FOLD)
         folded = nodes.groupBy(*within, block.alias("i"), "n").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("at"), "h"))).alias("all"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketches
+from .ranking import positioned
 
 
 def run_meta(runs: DataFrame) -> DataFrame:
@@ -21,8 +22,7 @@ def overlaps(meta: DataFrame) -> DataFrame:
 
 def dense_index(runs: DataFrame) -> DataFrame:
     """Each key's position in its run."""
-    place = F.row_number().over(Window.partitionBy("level", "gen").orderBy("base_key")) - 1
-    return runs.select("level", "gen", place.cast("long").alias("i"), "base_key")
+    return positioned(runs.select("level", "gen", "base_key"), "base_key", "level", "gen")
 
 
 def sparse_summary(runs: DataFrame, step: int) -> DataFrame:

@@ -200,6 +200,19 @@ def test_merkle(spark, monkeypatch):
     assert integrity.merkle_root(rows.limit(0), "k", "v", "g").count() == 0
 
 
+def test_positions_of_spread_groups(spark):
+    from keystrata.operators.ranking import positioned
+
+    r = random.Random(9)
+    rows = [(g, k) for g in range(3) for k in r.sample([f"k{i}" for i in range(2000)], 900 if g == 0 else 50)]
+    df = spark.createDataFrame(rows, "g int, k string")
+    own = {}
+    for g, k in sorted(rows):
+        own[g, k] = sum(1 for a, b in own if a == g)
+    for limit in (10, 5000):
+        assert {(x.g, x.k): x.i for x in positioned(df, "k", "g", task_rows=limit).collect()} == own
+
+
 def test_limiter(spark):
     r = random.Random(4)
     ops = sorted((r.choice("ab"), r.randrange(200), i) for i in range(300)) + [("c", 0, 900), ("c", 0, 901), ("c", 10, 902)]
