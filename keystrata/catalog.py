@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions.hashing import seed_hex
 from .functions.keys import valid_key
 from .operators import cache, compaction, integrity, pruning, ratelimit, reads, sketches, versions
-from .sources import oplog, records, wal
+from .sources import oplog, records, scratch, wal
+from .sources import runs as run_files
 
 # The settings the queries run with.
 PREFIX, LOW, HIGH, KEY, PAGE = "u1", "u10", "u30", "u42", 2
@@ -240,6 +241,34 @@ def leveled_flush(spark, sf_dir):
     return compaction.flush_merging(runs.filter(F.col("gen") == last), runs.filter(F.col("gen") < last))
 
 
+@query("SELECT * FROM live")
+def stored_live_view(spark, sf_dir):
+    """Runs written, read, compacted, written and read again."""
+    first, second = scratch.folder(spark), scratch.folder(spark)
+    run_files.write(_runs(spark, sf_dir), first)
+    run_files.write(compaction.size_tiered(run_files.read(spark, first), MINIMUM, LEVELS), second)
+    return versions.live(run_files.read(spark, second))
+
+
+@query("SELECT base_key, value_type, value, tombstone, ts, seq FROM latest")
+def stored_wal_replay(spark, sf_dir):
+    """The log written in segments and replayed from its files."""
+    path = scratch.folder(spark)
+    wal.append(oplog.from_events(spark, sf_dir).select("k", "value", "tombstone", "ts", "seq"), path, SEGMENT)
+    return wal.replayed(wal.read(spark, path))
+
+
+@query("""SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""", over_log=False)
+def latest_orders(spark, sf_dir):
+    """Latest-wins over a second log: a customer's orders are its versions."""
+    orders = oplog.table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("base_key"), F.lit("string").alias("value_type"), F.struct("o_orderkey", "o_totalprice", "o_orderstatus").alias("value"),
+        F.lit(False).alias("tombstone"), F.unix_micros(F.col("o_orderdate").cast("timestamp")).alias("ts"), F.col("o_orderkey").alias("seq"),
+    )
+    return versions.live(orders).select(F.col("base_key").alias("o_custkey"), "value.*")
+
+
 # ------------------------------------------------------- pruning and cache
 
 
@@ -248,6 +277,11 @@ def bloom_bits(spark, sf_dir):
     return sketches.bloom_bits(oplog.from_events(spark, sf_dir), "base_key", BLOOM_M, BLOOM_K)
 
 
+@query(f", x AS (SELECT DISTINCT level, gen, base_key FROM runs) SELECT DISTINCT level, gen, unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM x")
+def run_bloom_bits(spark, sf_dir):
+    return pruning.run_bloom(_runs(spark, sf_dir), BLOOM_M, BLOOM_K)
+
+
 _BITS = f"x AS (SELECT DISTINCT base_key FROM runs WHERE gen = 0), bits AS (SELECT DISTINCT unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM x)"
 
 
@@ -295,6 +329,29 @@ def cms_query(spark, sf_dir):
     return sketches.cms_query(log, "base_key", sketches.cms_cells(log, "base_key", CMS_M, CMS_K), CMS_M, CMS_K)
 
 
+_LINES_M, _LINES_K = sketches.cms_size(0.001, 0.01)
+
+
+@query(f"""WITH c AS (SELECT CAST(l_partkey AS VARCHAR) AS part, count(*) AS n FROM lineitem GROUP BY 1), h AS (SELECT n, unnest({hash_sql('part', _LINES_K, _LINES_M)}) AS j, unnest(range({_LINES_K})) AS r FROM c)
+SELECT CAST(r AS INTEGER) AS r, j, CAST(sum(n) AS BIGINT) AS c FROM h GROUP BY ALL""", over_log=False)
+def cms_lineitem(spark, sf_dir):
+    parts = oplog.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("part"))
+    return sketches.cms_cells(parts, "part", _LINES_M, _LINES_K)
+
+
+@query("""SELECT page_id, split_part(replace(replace(url, 'https://', ''), 'http://', ''), '/', 1) AS host, starts_with(url, 'https') AS secure, contains(url, '?') AS has_query, lower(url) AS lowered, md5(url) AS digest,
+  sha1(url) AS sha, (ascii(url) >> 3) & 1 AS bit, CAST(bit_count(xor(page_id, 255::BIGINT)) AS INTEGER) AS ones, lpad(CAST(page_id AS VARCHAR), 8, '0') AS padded, lower(hex(encode(url))) AS bytes,
+  CAST(page_id % 7 AS BIGINT) AS rest, TRY_CAST(substr(url, 9, 3) AS BIGINT) AS number, url < 'https://m' AS before FROM pages""", over_log=False)
+def scalar_functions(spark, sf_dir):
+    url, n = F.col("url"), F.col("page_id")
+    host = F.split_part(F.replace(F.replace(url, F.lit("https://"), F.lit("")), F.lit("http://"), F.lit("")), F.lit("/"), F.lit(1))
+    return oplog.table(spark, sf_dir, "pages").select(
+        "page_id", host.alias("host"), F.startswith(url, F.lit("https")).alias("secure"), F.contains(url, F.lit("?")).alias("has_query"), F.lower(url).alias("lowered"), F.md5(url.cast("binary")).alias("digest"),
+        F.sha1(url.cast("binary")).alias("sha"), F.shiftright(F.ascii(url), 3).bitwiseAND(F.lit(1)).alias("bit"), F.bit_count(n.bitwiseXOR(F.lit(255).cast("long"))).alias("ones"), F.lpad(n.cast("string"), 8, "0").alias("padded"), F.lower(F.hex(url)).alias("bytes"),
+        F.pmod(n, F.lit(7).cast("long")).alias("rest"), F.substring(url, 9, 3).try_cast("long").alias("number"), (url < "https://m").alias("before"),
+    )
+
+
 _REGISTERS = f"""x AS (SELECT DISTINCT md5(CAST(o_custkey AS VARCHAR)) AS x FROM orders),
 y AS (SELECT ascii(x[1]) * 16 + (ascii(x[2]) >> 4) AS bucket, ascii(x[32]) AS last FROM x),
 reg AS (SELECT CAST(bucket AS INTEGER) AS bucket, max(CAST(CASE WHEN last & 1 = 1 THEN 0 WHEN last & 3 = 2 THEN 1 WHEN last & 7 = 4 THEN 2 WHEN last & 15 = 8 THEN 3 WHEN last & 31 = 16 THEN 4 ELSE 5 END AS INTEGER)) AS rank FROM y GROUP BY 1)"""
