@@ -60,15 +60,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keep_space: bool =
     encoded_in_order(docs, tokenizer, keep_space, end_id).write.options(**options).orc(path)
 
 
-def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None, first: int | None = None, last: int | None = None, broadcast_files: int = 500_000) -> DataFrame:
     """Stored rows with ``start``, the ids of all documents before each one.
     A list or a range of ids reaches the ORC reader, which prunes stripes and
     row groups by their statistics and Bloom filters."""
     stored = spark.read.schema(STORED).orc(path)
-    # one row per file; the widest thing here that a single task sees
+    # one row of two numbers per file; the widest thing here that a single task sees
     sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if len(stored.inputFiles()) <= broadcast_files:
+        base = F.broadcast(base)  # else both sides are shuffled
     if doc_ids is not None:
         stored = stored.filter(F.col("doc_id").isin(doc_ids))
     if first is not None:
