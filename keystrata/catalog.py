@@ -390,7 +390,9 @@ def simhash_bits(spark, sf_dir):
 @query(f"""WITH {_SIMHASH} SELECT a.doc_id, CASE WHEN b.bits IS NULL THEN -1 ELSE hamming(a.bits, b.bits) END AS distance
 FROM bits a LEFT JOIN bits b ON b.doc_id = a.doc_id + 1""", over_log=False)
 def simhash_hamming(spark, sf_dir):
-    bits = simhash_bits(spark, sf_dir)
+    path = scratch.folder(spark)
+    simhash_bits(spark, sf_dir).write.parquet(path)  # both sides of the join read it
+    bits = spark.read.parquet(path)
     other = bits.select((F.col("doc_id") - 1).alias("doc_id"), F.col("bits").alias("next"))
     return bits.join(other, "doc_id", "left").select("doc_id", sketches.hamming(F.col("bits"), F.col("next")).alias("distance"))
 

@@ -115,20 +115,33 @@ def hll_native(items: DataFrame, item: str, p: int = 12) -> DataFrame:
 
 
 def _signs(texts: pd.Series) -> pd.Series:
-    known: dict[str, np.ndarray] = {}
-
-    def vector(word: str) -> np.ndarray:
-        if word not in known:
-            if len(known) > 50_000:
-                known.clear()
-            known[word] = 2 * np.unpackbits(np.frombuffer(hashlib.md5(word.encode()).hexdigest().encode(), np.uint8)).astype(np.int64) - 1
-        return known[word]
+    place: dict[str, int] = {}
+    rows = np.empty((4096, 256), np.int8)
+
+    def places(words: list[str]) -> list[int]:
+        nonlocal rows
+        if len(place) > 50_000:
+            place.clear()
+        new = [w for w in words if w not in place]
+        if new:
+            while len(place) + len(new) > len(rows):
+                rows = np.concatenate((rows, np.empty_like(rows)))
+            digests = b"".join(hashlib.md5(w.encode()).hexdigest().encode() for w in new)
+            rows[len(place) : len(place) + len(new)] = 2 * np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 256).astype(np.int8) - 1
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        return [place[w] for w in words]
 
     def one(text: str) -> str:
-        total = np.zeros(256, np.int64)
-        for word, n in Counter(text.split(" ")).items():
-            total += n * vector(word)
-        return "".join("0" if x < 0 else "1" for x in total)
+        counts = Counter(text.split(" "))
+        total = np.zeros(256)
+        words, times = list(counts), np.array(list(counts.values()), np.float64)
+        for k in range(0, len(words), 4096):  # sums of whole numbers, exact in doubles
+            total += times[k : k + 4096] @ rows_of(words[k : k + 4096])
+        return ((total >= 0).astype(np.uint8) + ord("0")).tobytes().decode()
+
+    def rows_of(words: list[str]) -> np.ndarray:
+        at = places(words)
+        return rows[at].astype(np.float64)
 
     return texts.map(one)
 
