@@ -35,7 +35,7 @@ from ._common import materialize, text_slices, whole_texts
 
 WORDS, ROWS, BANDS, BATCH = 5, 6, 22, 12
 HASHES = ROWS * BANDS
-BLOCK_ROWS, BLOCK_BYTES, SALTS = 512, 16 << 20, 32
+BLOCK_ROWS, MOST_BLOCK_ROWS, BLOCKS, BLOCK_BYTES, SALTS = 128, 4096, 64, 16 << 20, 32
 
 _RANDOM = np.random.default_rng(20240607)
 _FACTORS = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -212,7 +212,9 @@ def confirmed_links(texts: DataFrame, clusters: DataFrame, percent: int, miss: f
     texts: uid, node, text; clusters: node, cluster."""
     members = materialize(texts.join(clusters, "node"))
     sums = materialize(members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("size")))
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+    # small blocks spread a group over many tasks; larger ones keep a large group's copies few
+    rows_each = F.least(F.lit(MOST_BLOCK_ROWS), F.greatest(F.lit(BLOCK_ROWS), F.col("n") / BLOCKS))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / rows_each), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
     placed = members.join(sums, "cluster").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     celled = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     celled = celled.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "text")
