@@ -326,6 +326,24 @@ def test_op5_held_out(spark):
     assert sum(right) / len(right) > 0.95
 
 
+SHAPES = [
+    ('password="hunter2-x"', "hunter2-x"), ("password='correct-horse'", "correct-horse"), ('api_key: "qwertyuiopasdf"', "qwertyuiopasdf"), ("password: hunter22", "hunter22"), ('"password": "Tr0ub4dor&3"', "Tr0ub4dor&3"),
+    ("PASSWORD=Swordfish!", "Swordfish!"), ("password = 'abc123def'", "abc123def"), ("secret: P@ssw0rd!2024xyz", "P@ssw0rd!2024xyz"), ("DB_ADMIN1_PASSWORD='abc!123def'", "abc!123def"), ("token=b7db7aa4a5fc!c783%05", "token=b7db7aa4a5fc!c783%05"),
+    ('Api_Key   :\t"qw3rty uiop"', "qw3rty uiop"), ("password: hunter22, and more", "hunter22"),
+]
+
+
+def test_op5_shapes(spark):
+    docs = spark.createDataFrame([(i, f"ther onlade {t} erti ander", "src") for i, (t, _) in enumerate(SHAPES)], "doc_id long, text string, source string")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.secrets] for r in secret_forest.findings(docs).collect()}
+    assert [got[i] for i in range(len(SHAPES))] == [[v] for _, v in SHAPES]
+    benign = ["the token: wonderful things to say", "Password: ********", "password=${DB_PASSWORD}", 'secret = "changeme"', "password = getpass.getpass()", "nothing named 12"]
+    more = spark.createDataFrame([(i, t, "src") for i, t in enumerate(benign)] + [(9, "password=" + "é!" * 500_000, "src")], "doc_id long, text string, source string")
+    rows = {r.doc_id: r for r in secret_forest.findings(more).collect()}
+    assert all(rows[i].n_secrets == 0 for i in range(len(benign))) and rows[9].n_candidates == 1
+
+
 def language_docs(spark):
     r = random.Random(5)
     words = {"en": "the and of was with".split(), "de": "der und die ist mit".split(), "fr": "le et de est dans".split()}
