@@ -9,7 +9,11 @@ projected gradient steps. A step needs only one sum per domain, taken over all
 documents; a document's rate follows from its posterior and the steps so far,
 so no per-document state is kept and nothing is shuffled but the sums.
 
-Training sees at most ``most`` labelled documents, those of smallest hash.
+The domains are those of all labelled documents present. Only the classifier
+sees a sample: of each domain the ``most`` / domains labelled documents of
+smallest hash, 20 at least, weighted by how many they stand for. A domain with
+no labelled document has no posterior and no target; its documents count
+towards the domains they resemble.
 
 Cases: a null text counts as empty, with no tokens and the prior's posterior;
 a null domain does not train; with fewer than two domains all posteriors are
@@ -23,7 +27,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import materialize
@@ -41,19 +45,25 @@ def _vectors(df: DataFrame, bits: int) -> DataFrame:
 def posteriors(docs: DataFrame, labels: DataFrame, domain: str = "lang", most: int = 3000, bits: int = 14) -> tuple[DataFrame, list[str]]:
     """The rows of ``docs`` as ``row`` with __tokens and __posterior (an array
     in the order of the returned domains)."""
-    order = F.xxhash64("doc_id", F.lit(23))
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
-    chosen = ids.withColumn("__turn", order).orderBy("__turn", "doc_id").limit(most)  # of one number each
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(domain).cast("string").alias("domain"))
-    sample = materialize(some.filter("domain is not null").join(F.broadcast(chosen), "doc_id").orderBy("__turn", "text").limit(most))
-    domains = sorted(r["domain"] for r in sample.select("domain").distinct().collect())  # at most ``most``
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col(domain).cast("string").alias("domain")).filter("domain is not null")
+    pairs = materialize(some.select("doc_id", "domain").join(ids, "doc_id", "left_semi").distinct())
+    counts = pairs.groupBy("domain").agg(F.count("*").alias("__n"))
+    domains = sorted(r["domain"] for r in counts.collect())
+    each = max(20, most // max(1, len(domains)))
+    turn = F.xxhash64("doc_id", F.lit(23))
+    few = pairs.join(F.broadcast(counts), "domain").withColumn("__turn", turn).filter(F.pmod("__turn", F.lit(1 << 30)) / float(1 << 30) < (2 * each + 50) / F.col("__n"))  # about twice as many as wanted
+    first = Window.partitionBy("domain").orderBy(F.pmod("__turn", F.lit(1 << 30)), "doc_id")
+    chosen = few.withColumn("__i", F.row_number().over(first)).filter(F.col("__i") <= each)
+    chosen = chosen.withColumn("__weight", F.col("__n") / F.count("*").over(Window.partitionBy("domain"))).select("doc_id", "domain", "__weight")
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no name in it can clash
     rows = packed.withColumn("__words", _words(F.col("row.text").cast("string"))).withColumn("__tokens", F.size("__words").cast("long"))
     if len(domains) < 2:
         return rows.withColumn("__posterior", F.array(F.lit(1.0))).drop("__words"), domains or [""]
+    sample = materialize(some.join(F.broadcast(chosen), ["doc_id", "domain"]).groupBy("doc_id", "domain", "__weight").agg(F.min("text").alias("text")).orderBy("doc_id", "domain"))  # one text of a repeated id
     number = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")).cast("double") - 1
-    train = _vectors(sample.withColumn("__words", _words(F.col("text"))), bits).select(number.alias("label"), "__features").coalesce(4)
-    model = LogisticRegression(featuresCol="__features", family="multinomial", maxIter=12, regParam=0.002, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__label").fit(train)
+    train = _vectors(sample.withColumn("__words", _words(F.col("text"))), bits).select(number.alias("label"), "__weight", "__features").coalesce(4)
+    model = LogisticRegression(featuresCol="__features", weightCol="__weight", family="multinomial", maxIter=12, regParam=0.002, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__label").fit(train)
     scored = model.transform(_vectors(rows, bits)).withColumn("__posterior", vector_to_array("__p"))
     return scored.drop("__words", "__counts", "__features", "__p", "__raw", "__label"), domains
 

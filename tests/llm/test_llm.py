@@ -374,6 +374,18 @@ def test_op6(spark, edges, nothing):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_op6_every_labelled_domain(spark):
+    docs, labels = language_docs(spark)
+    rare = spark.createDataFrame([(1000, "unu du tri", "eo", "src", 0)], docs.schema)
+    gone = spark.range(10_000, 110_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))  # ids that are not there
+    all_labels = labels.union(gone).union(spark.createDataFrame([(1000, 1, 0)], labels.schema))
+    assert soft_mix.posteriors(docs.union(rare), all_labels, most=60)[1] == ["de", "en", "eo", "fr"]
+    scored, domains = soft_mix.posteriors(docs.union(rare), all_labels)
+    best = {r.id: domains[max(range(4), key=lambda d: r.p[d])] for r in scored.select(F.col("row.doc_id").alias("id"), F.col("__posterior").alias("p")).collect()}
+    lang = {r.doc_id: r.lang for r in docs.collect()}
+    assert best[1000] == "eo" and sum(best[i] == x for i, x in lang.items()) > 230
+
+
 def test_op7(spark, edges, nothing):
     r = random.Random(12)
     rows, marks = [], []
