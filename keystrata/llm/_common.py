@@ -52,7 +52,50 @@ def whole_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 8 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+class Memo(dict):
+    """What a worker remembers from batch to batch and task to task: ``find``
+    of each key that was asked for.
+
+    The entries' bytes are estimated. When they pass half of ``most`` they
+    become the older half, from which asking takes an entry back, and what
+    was older is forgotten. Workers outlive their stage, so the first task of
+    another owner empties what the one before it left.
+    """
+
+    every: list[Memo] = []
+
+    def __init__(self, owner: str, find: Callable, most: int = 24 << 20):
+        super().__init__()
+        self.owner, self.find, self.most, self.held, self.older = owner, find, most, 0, {}
+        Memo.every.append(self)
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        self[key] = value
+        self.held += 180 + len(key) + (len(value) if isinstance(value, bytes) else 32)
+        return value
+
+    def forget(self) -> None:
+        self.clear()
+        self.held, self.older = 0, {}
+
+    def begin(self) -> None:
+        """To be called before each batch."""
+        for other in Memo.every:
+            if other.owner != self.owner and (other or other.older):
+                other.forget()
+        if self.held > self.most // 2:
+            self.age()
+
+    def age(self) -> None:
+        self.older = dict(self)
+        self.clear()
+        self.held = 0
+
+
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 2 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about ``max_bytes`` of text (one
     longer text is a slice of its own), which bounds a worker's memory."""
     for batch in batches:
@@ -68,7 +111,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", max_byt
             yield batch.slice(start)
 
 
-def map_slices(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", max_bytes: int = 8 << 20) -> DataFrame:
+def map_slices(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text", max_bytes: int = 2 << 20) -> DataFrame:
     """mapInArrow over slices of bounded size."""
 
     def run(batches):
