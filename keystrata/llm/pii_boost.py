@@ -3,11 +3,15 @@
 High-recall generators propose overlapping spans, boosted trees score each
 from its format and the words around it, and a calibrated probability over a
 threshold selects what is redacted. Spans of the four base kinds follow fixed
-patterns and always stay; proposals that overlap them are dropped, and of
-proposals that overlap each other the likelier one stays.
+patterns and always stay; proposals that overlap them are dropped. The others
+are taken by falling probability, each unless it overlaps one taken already,
+so a span loses only to one that stays itself.
 
 Base kinds: email, ip, card, phone. Added kinds: handle (a written-out
-address), local_phone, national_id, iban, ipv6.
+address), local_phone, national_id, iban, ipv6, birth_date, passport, street,
+person, credential. Lengths within their patterns are the formats' own: 64 and
+63 letters in an address' parts, 7 to 18 digits in a number, 15 to 34 signs in
+an IBAN.
 
 The trees are trained here, on findings with known labels that
 ``labelled_findings`` writes from a seed: real formats in fitting context, and
@@ -15,7 +19,8 @@ numbers, dates, versions, hashes and article codes that only look alike.
 
 Cases: a null text counts as empty and has no spans; rows that share a doc_id,
 or have none, are scanned separately; an empty table yields no rows; other
-columns are left out. Every pattern is linear in the text's length.
+columns are left out. A text of any length is scanned whole, and every pattern
+is linear in its length.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -32,7 +38,7 @@ from pyspark.sql import DataFrame
 
 from ._common import map_slices, whole_texts
 
-KINDS = ("email", "ip", "card", "phone", "handle", "local_phone", "national_id", "iban", "ipv6")
+KINDS = ("email", "ip", "card", "phone", "handle", "local_phone", "national_id", "iban", "ipv6", "birth_date", "passport", "street", "person", "credential")
 BASE = 4
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
@@ -94,11 +100,22 @@ def base_spans(text: str) -> list[Span]:
 # ------------------------------------------------------------- proposals
 
 _EDGE, _END = r"(?<![\w.+/=-])", r"(?![\w/=-])"
-_HANDLE = re.compile(r"(?<!\w)[A-Za-z][\w.+-]{0,40} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9][\w-]{0,40}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,20}){1,3}(?!\w)")
+_HANDLE = re.compile(r"(?<!\w)[A-Za-z][\w.+-]{0,63} ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9][\w-]{0,62}(?: ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z0-9-]{1,63})+(?!\w)")
 _NUMBER = re.compile(_EDGE + r"\(?[0-9](?:[ .()/-]{0,2}[0-9]){6,17}" + _END)
 _IBAN = re.compile(_EDGE + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}" + _END)
 _IPV6 = re.compile(_EDGE + r"(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 
+_DATE = re.compile(_EDGE + r"(?:(?:19|20)[0-9]{2}[-./](?:0?[1-9]|1[0-2])[-./][0-3]?[0-9]|[0-3]?[0-9][-./ ][01]?[0-9][-./ ](?:19|20)[0-9]{2})(?![\w/=-])")
+_PASSPORT = re.compile(r"(?<!\w)[A-Z]{1,2}[0-9]{6,8}(?!\w)")
+_NAME_WORD = r"[A-ZÀ-ÖØ-Þ][\w'-]*+"
+_STREET = re.compile(
+    rf"(?<!\w)[0-9]{{1,5}}[a-z]? (?:{_NAME_WORD} ){{1,3}}(?:Street|St|Road|Rd|Avenue|Ave|Lane|Drive|Boulevard)\b\.?|(?<!\w)[A-ZÀ-ÖØ-Þ]\w*?(?:straße|strasse|weg|platz|gasse) [0-9]{{1,4}}[a-z]?(?!\w)"
+    rf"|(?<!\w)[0-9]{{1,5}},? (?:rue|avenue|place|impasse)(?: (?:de|du|des|la|le|les|{_NAME_WORD})){{1,5}}|(?<!\w)(?:[Cc]alle|[Pp]laza|[Aa]venida)(?: (?:de|del|la|las|los|{_NAME_WORD})){{1,5}},? [0-9]{{1,4}}(?!\w)"
+)
+_STREET_WORDS = re.compile(r"Street|St\b|Road|Rd\b|Avenue|Ave\b|Lane|Drive|Boulevard|straße|strasse|weg |platz |gasse |rue |avenue |place |impasse |alle |laza |venida ")
+_PERSON = re.compile(rf"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Señora?|Sra?|Mme|Monsieur|Madame)\.? {_NAME_WORD}(?: {_NAME_WORD}){{0,2}}")
+_CREDENTIAL = re.compile(r"(?<![A-Za-z])(?i:password|passwd|secret|api_?key|token|passwort|contraseña)[\"']?[ \t]*+[=:][ \t]*+[\"']?[^\s\"']{6,}+")
+
 
 def proposals(text: str) -> list[Span]:
     """Everything that might be personal data, overlaps included."""
@@ -111,6 +128,13 @@ def proposals(text: str) -> list[Span]:
         found += [Span("iban", *m.span()) for m in _IBAN.finditer(text)]
         if ":" in text:
             found += [Span("ipv6", *m.span()) for m in _IPV6.finditer(text)]
+        for kind, pattern in (("birth_date", _DATE), ("passport", _PASSPORT)):
+            found += [Span(kind, *m.span()) for m in pattern.finditer(text)]
+        if _STREET_WORDS.search(text):
+            found += [Span("street", *m.span()) for m in _STREET.finditer(text)]
+    found += [Span("person", *m.span()) for m in _PERSON.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [Span("credential", *m.span()) for m in _CREDENTIAL.finditer(text)]
     return found
 
 
@@ -121,6 +145,9 @@ BANK_WORDS = {"iban", "account", "konto", "compte", "cuenta", "bank", "transfer"
 MAIL_WORDS = {"mail", "email", "e", "contact", "write", "reach", "kontakt", "contacto", "courriel", "correo"}
 NET_WORDS = {"ip", "address", "host", "server", "ipv6", "from", "peer"}
 OTHER_WORDS = {"order", "invoice", "isbn", "version", "date", "model", "serial", "commit", "hash", "article", "part", "room", "page", "build", "ticket", "on", "total", "price"}
+BIRTH_WORDS = {"born", "birth", "birthday", "dob", "geboren", "geburtstag", "geburtsdatum", "né", "née", "naissance", "nacido", "nacida", "nacimiento"}
+HOME_WORDS = {"lives", "live", "home", "resident", "resides", "wohnt", "wohnhaft", "adresse", "habite", "domicile", "vive", "domicilio", "dirección"}
+HOLLOW = re.compile(r"example|changeme|placeholder|your[_-]|dummy|sample|xxxx|redacted|[*]{3}|[$<{(\[]", re.IGNORECASE)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -145,13 +172,14 @@ def describe(text: str, span: Span) -> list[float]:
         float(x.count("-")), float(x.count(".")), float(x.count("(")), float(x.count("/")), float(x.count(" ")), float(x.count(":")), float(ssn), float(day), float(x[:1] == "0" or x[:2] == "(0"),
         float(span.kind == "iban" and iban_fits(x)), float(span.kind == "handle" and ("(" in x or "[" in x)), float("::" in x), float(bool(re.search("[a-fA-F]", x)) if span.kind == "ipv6" else 0),
         has(PHONE_WORDS), has(ID_WORDS), has(BANK_WORDS), has(MAIL_WORDS), has(NET_WORDS), has(OTHER_WORDS), float(any(w in OTHER_WORDS for w in after)), float(text[span.start - 1 : span.start] in ('"', "'", "=", "#")),
+        has(BIRTH_WORDS), has(HOME_WORDS), float(bool(HOLLOW.search(x))), float(sum(c.isupper() for c in x)), float(sum(c.islower() for c in x)), float(len(set(x))), float(bool(re.match(r"[A-Z][a-z]+\.? [A-Z]\w+ [A-Z]", x))),
     ]
 
 
 # -------------------------------------------------------------- training
 
 
-def labelled_findings(seed: int = 5, n: int = 3600) -> list[tuple[str, Span, int]]:
+def labelled_findings(seed: int = 5, n: int = 5400) -> list[tuple[str, Span, int]]:
     """Texts with a proposal each and whether it is personal data."""
     r = random.Random(seed)
     words = ["the", "and", "then", "of", "heure", "und", "casa", "when", "over", "small", "red", "noon", "we", "they", "met"]
@@ -179,6 +207,16 @@ def labelled_findings(seed: int = 5, n: int = 3600) -> list[tuple[str, Span, int
         ("iban", 0): lambda: (r.choice([iban(False), f"AB{num(14)}", f"XK{num(2)}{name().upper()}{num(8)}AZ"]), OTHER_WORDS),
         ("ipv6", 1): lambda: (r.choice([hexes(8), f"fe80::{hexes(4)}", f"2001:db8::{hexes(2)}"]), NET_WORDS),
         ("ipv6", 0): lambda: (f"{num(2)}:{num(2)}:{num(2)}", OTHER_WORDS),
+        ("birth_date", 1): lambda: (r.choice([f"19{r.randint(30, 99)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1940, 2010)}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{r.randint(1940, 2010)}"]), BIRTH_WORDS),
+        ("birth_date", 0): lambda: (r.choice([f"20{num(2)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1990, 2030)}", f"{r.randint(1, 28):02d}/{r.randint(1, 12):02d}/{r.randint(1990, 2030)}"]), OTHER_WORDS),
+        ("passport", 1): lambda: (f"{r.choice(['C', 'L', 'AB', 'XK', 'P'])}{num(r.randint(6, 8))}", ID_WORDS),
+        ("passport", 0): lambda: (f"{r.choice(['SKU', 'A', 'B', 'ISO', 'RX', 'QT'])[:2]}{num(r.randint(6, 8))}", OTHER_WORDS),
+        ("street", 1): lambda: (r.choice([f"{r.randint(1, 999)} {name().title()} {r.choice(['Street', 'Road', 'Avenue', 'Lane'])}", f"{name().title()}{r.choice(['straße', 'weg', 'platz'])} {r.randint(1, 199)}", f"{r.randint(1, 199)} rue de {name().title()}", f"calle {name().title()}, {r.randint(1, 199)}"]), HOME_WORDS),
+        ("street", 0): lambda: (r.choice([f"{r.randint(1900, 2030)} {name().title()} Road", f"{r.randint(1, 9)} avenue de {name().title()}"]), OTHER_WORDS),
+        ("person", 1): lambda: (f"{r.choice(['Mr', 'Mrs', 'Dr', 'Ms', 'Herr', 'Frau', 'Mme', 'Señor'])}{r.choice(['', '.'])} {name().title()}{r.choice(['', ' ' + name().title()])}", HOME_WORDS | MAIL_WORDS | PHONE_WORDS),
+        ("person", 0): lambda: (f"{r.choice(['Dr', 'Ms', 'Sr', 'Frau', 'Mr'])} {name().upper()}", OTHER_WORDS),
+        ("credential", 1): lambda: (f"{r.choice(['password', 'token', 'secret', 'api_key', 'Passwort'])}{r.choice(['=', ' = ', ': '])}{r.choice(['', chr(34)])}{name()}{num(r.randint(2, 6))}{r.choice(['', '!', '#'])}{r.choice([name(), num(4), name().upper()])}", HOME_WORDS),
+        ("credential", 0): lambda: (f"{r.choice(['password', 'token', 'secret', 'api_key'])}{r.choice(['=', ' = ', ': '])}{r.choice(['example', 'changeme', 'your_token', '${TOKEN}', '<secret>', '********', 'placeholder', name() + name()[:3], 'required'])}", OTHER_WORDS),
     }
     out = []
     while len(out) < n:
@@ -188,7 +226,7 @@ def labelled_findings(seed: int = 5, n: int = 3600) -> list[tuple[str, Span, int
         text = f"{' '.join(r.choices(words, k=r.randint(2, 7)))} {lead}{x} {' '.join(r.choices(words, k=3))}"
         start = text.find(x)
         for s in proposals(text):
-            if s.kind == kind and s.start <= start < s.end:
+            if s.kind == kind and s.start < start + len(x) and start < s.end:
                 out.append((text, s, label))
     return out[:n]
 
@@ -288,27 +326,29 @@ def model(precision: float = 0.99) -> Trees:
 # --------------------------------------------------------------- results
 
 
+def chosen(offered: list[Span], p: np.ndarray, threshold: float) -> list[Span]:
+    """The spans of probability ``threshold`` or more that none taken before
+    overlaps, the likeliest first; of equal ones the first, by start and kind."""
+    starts: list[int] = []
+    taken: list[Span] = []
+    for k in sorted(np.flatnonzero(p >= threshold), key=lambda k: (-p[k], offered[k].start, _RANK[offered[k].kind])):
+        s = offered[k]
+        at = bisect_left(starts, s.end)  # taken spans are apart, so the last that starts before s ends is the last to reach it
+        if not at or taken[at - 1].end <= s.start:
+            starts.insert(at, s.start)
+            taken.insert(at, s)
+    return taken
+
+
 def all_spans(text: str, t: Trees, base: list[Span]) -> list[Span]:
     """Base spans and the selected proposals, by start, then kind."""
-    offered = [s for s in proposals(text) if not any(s.start < b.end and b.start < s.end for b in base)] if len(base) < 50 else _clear_of(proposals(text), base)
+    offered = proposals(text)
+    if base and offered:
+        offered = _clear_of(offered, base)
     if not offered:
         return base
     p = probabilities(t, np.array([describe(text, s) for s in offered]))
-    chosen: list[Span] = []
-    taken: list[Span] = []
-    for k in sorted(np.flatnonzero(p >= t.threshold), key=lambda k: (offered[k].start, -p[k], _RANK[offered[k].kind])):
-        s = offered[k]
-        if taken and s.start < taken[-1].end:
-            if (s.start, s.end) == (taken[-1].start, taken[-1].end):
-                continue  # the likelier kind of the same span stands
-            rival = chosen[-1]
-            if p[k] <= p[offered.index(rival)]:
-                continue
-            chosen.pop()
-            taken.pop()
-        chosen.append(s)
-        taken.append(s)
-    return sorted([*base, *chosen], key=lambda s: (s.start, _RANK[s.kind]))
+    return sorted([*base, *chosen(offered, p, t.threshold)], key=lambda s: (s.start, _RANK[s.kind]))
 
 
 def _clear_of(offered: list[Span], base: list[Span]) -> list[Span]:
@@ -340,10 +380,10 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """A row per document: base counts, the base spans' hash and all spans;
-    with_text adds the redacted text."""
+    """A row per document: base counts, the base spans' hash, all spans and
+    their number; with_text adds the redacted text."""
     trees = model()
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string" + (", redacted string" if with_text else "")
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long" + (", redacted string" if with_text else "")
 
     def each(batch):
         out = []
@@ -351,7 +391,7 @@ def scan(docs: DataFrame, with_text: bool = False) -> DataFrame:
             base = base_spans(text)
             spans = all_spans(text, trees, base)
             kinds = [s.kind for s in base]
-            row = [doc, *(kinds.count(k) for k in KINDS[:BASE]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)]
+            row = [doc, *(kinds.count(k) for k in KINDS[:BASE]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans)]
             out.append([*row, redact(text, spans)] if with_text else row)
         types = [pa.string() if x.split()[1] == "string" else pa.int64() for x in schema.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
