@@ -1,25 +1,33 @@
 """Secret scans with a random forest for false-positive removal, in DataFrame
 and SQL functions only.
 
-A pattern cuts candidates out of a text: long runs of key-like characters that
+A pattern cuts candidates out of a text: whole private keys between their
+marks, runs that begin as issued keys do, long runs of key-like characters that
 hold a digit, and the values of named passwords, keys and tokens: names in any
 case, with or without quotes and blanks around = or :, each value whole, up to
 its closing quote or else the next blank. A named run without quotes, such as
-``token=3f2a...``, is one candidate with its name. Each is described by its length, its character classes and their changes, how much of
-it common words cover, its path and its neighbouring words. A forest trained
-on labelled findings votes; a vote share of ``threshold`` makes it a secret.
-Candidates are scored in place, inside their row, so nothing is shuffled and
-texts are put together again from the gaps between the candidates.
+``token=3f2a...``, is one candidate with its name. Each is described by its
+length, its character classes and their changes, how much of it the corpus'
+own words cover, its path and its neighbouring words. A forest trained on
+labelled findings votes; a vote share of ``threshold`` makes it a secret.
+Candidates are scored in place, inside their row, and texts are put together
+again from the gaps between the candidates.
+
+The dictionary holds the words of four letters or more that stand in the most
+documents, MOST_WORDS at most and in LEAST_DOCS at least, counted over all
+documents. It travels as a bitmap of fixed size; about one unknown word in
+thirty passes for a known one.
 
 Cases: a null text counts as empty in findings and stays null when redacted;
 a null path has no path words; rows that share a doc_id, or have none, are
 scanned separately; an empty table yields no rows; other columns are left out
-of findings and kept, as they are, by ``redacted``. The pattern is linear in
-the text's length.
+of findings and kept, as they are, by ``redacted``. A text of any length
+is scanned whole, and the pattern is linear in its length.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 
@@ -34,20 +42,26 @@ _PLAIN = "(?:[^\\s\"',;]|[,;](?![\\s\"',;]|\\z)){6,}+"
 _QUOTED = "(?<=\")(?!\\s)[^\"\\r\\n]{6,}+(?=\")|(?<=')(?!\\s)[^'\\r\\n]{6,}+(?=')"
 _HEAD = f"{_NAME}[\"']?[ \\t]*+[=:][ \\t]*+[\"']?+"
 _LONG = f"(?<!{_RUN})(?=[A-Za-z_/+=.-]*+[0-9])"
+_MARK = "(?:[A-Z]++ ){0,3}?PRIVATE KEY-----"
+_KEY_BLOCK = f"-----BEGIN {_MARK}(?:[A-Za-z0-9+/=\\s]*+-----END {_MARK})?"
+PREFIXES = "AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|sk_live|AIza|eyJ|glpat-"
+_ISSUED = f"(?<!{_RUN})(?:{PREFIXES}){_RUN}{{12,}}+"
 # group 1, the head of a named value, is not part of the candidate
-CANDIDATE = f"{_LONG}(?={_RUN}{{12}}){_RUN}*?{_NAME}={_PLAIN}|((?<!{_RUN}){_RUN}*?{_HEAD})(?:{_QUOTED}|{_PLAIN})|{_LONG}{_RUN}{{12,}}+"
+CANDIDATE = f"{_KEY_BLOCK}|{_ISSUED}|{_LONG}(?={_RUN}{{12}}){_RUN}*?{_NAME}={_PLAIN}|((?<!{_RUN}){_RUN}*?{_HEAD})(?:{_QUOTED}|{_PLAIN})|{_LONG}{_RUN}{{12,}}+"
+
+MOST_WORDS, LEAST_DOCS, BITS = 65_536, 3, 1 << 21
 
-# Common words of prose and code, and words that speak for or against a secret.
+# Words that configurations are full of, and words that speak for or against a secret.
 DICTIONARY = "the and for that with this from have not are was page file test user name data key value image index main config sample local admin hello world order report version release build module class string table model number"
+SPOKEN = "something never different nothing required string keeping between people morning letters patience because garden against another simple should people always number meeting market friends today without where little"
 SECRET_WORDS = "password|passwd|pwd|secret|token|api_?key|apikey|credential|auth|bearer|private|aws|access"
 BENIGN_WORDS = "sha1|sha256|md5|commit|checksum|digest|uuid|guid|isbn|order|invoice|card|version|hash|etag|url|http|href|src|image|revision|phone|tel|date|article|serial|build"
 PLACEHOLDERS = "example|sample|dummy|your|changeme|placeholder|xxxx|0000|1234567|redacted|fake|test"
-PREFIXES = "AKIA|ASIA|gh[pousr]_|xox[abp]-|sk-|sk_live|AIza|eyJ|glpat-"
 TEST_PATHS = "test|spec|fixture|example|mock|docs|sample"
 
 FEATURES = (
     "length", "digits", "upper", "lower", "other", "changes", "vowels", "distinct", "hex", "number", "covered", "placeholder",
-    "prefix", "uuid", "dots", "slashes", "named", "benign", "tested", "quoted", "assigned", "dashes", "keyed", "equals", "blanks", "variable",
+    "prefix", "block", "uuid", "dots", "slashes", "named", "benign", "tested", "quoted", "assigned", "dashes", "keyed", "equals", "blanks", "variable",
 )
 
 
@@ -59,16 +73,47 @@ def _flag(x: Column, pattern: str) -> Column:
     return F.coalesce(x.rlike(pattern), F.lit(False)).cast("double")
 
 
-def described(value: Column, before: Column, after: Column, path: Column) -> Column:
+def _place(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BITS))
+
+
+def _words(x: Column) -> Column:
+    return F.transform(F.regexp_extract_all(x, F.lit("[A-ZÀ-Þ]?[a-zß-ÿ]{3,}|[A-ZÀ-Þ]{4,}"), F.lit(0)), lambda w: F.lower(w))
+
+
+def corpus_words(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST_DOCS) -> DataFrame:
+    """word and n, in how many documents it stands, of the most frequent ones."""
+    each = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-zß-ÿ]{4,24}"), F.lit(0)))).alias("word"))
+    return each.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most)
+
+
+def dictionary(docs: DataFrame) -> tuple[bytes, list[str]]:
+    """The bitmap of the corpus' words and of DICTIONARY, and the commonest words."""
+    spark = docs.sparkSession
+    own = spark.range(1).select(F.explode(F.split(F.lit(f"{DICTIONARY} {SPOKEN}"), " ")).alias("word"), F.lit(0).cast("long").alias("n"))
+    rows = corpus_words(docs).union(own).select("word", "n", _place(F.col("word")).alias("at")).collect()  # MOST_WORDS and a few
+    bits = bytearray(BITS // 8)
+    for r in rows:
+        bits[r["at"] // 8] |= 1 << r["at"] % 8
+    return bytes(bits), [r["word"] for r in sorted((r for r in rows if r["n"]), key=lambda r: (-r["n"], r["word"]))[:400]]
+
+
+def _known(word: Column, bitmap: bytes) -> Column:
+    at = _place(word)
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.getbit(byte, (at % 8).cast("int")) == 1
+
+
+def described(value: Column, before: Column, after: Column, path: Column, bitmap: bytes) -> Column:
     """A structure of FEATURES for a candidate and what stands around it."""
     size = F.length(value).cast("double")
-    words = "|".join(sorted(DICTIONARY.split(), key=lambda w: (-len(w), w)))
+    covered = F.aggregate(F.filter(_words(value), lambda w: _known(w, bitmap)), F.lit(0), lambda n, w: n + F.length(w))
     parts = {
         "length": size, "digits": _count(value, "[0-9]"), "upper": _count(value, "[A-Z]"), "lower": _count(value, "[a-z]"), "other": _count(value, "[^A-Za-z0-9]"),
         "changes": _count(value, "[a-z](?=[A-Z0-9])|[A-Z](?=[0-9])|[0-9](?=[A-Za-z])") / size, "vowels": _count(value, "[aeiouAEIOU]") / size,
         "distinct": F.size(F.array_distinct(F.split(value, ""))).cast("double"), "hex": _flag(value, "^(?:.*=)?[0-9a-fA-F]+$"), "number": _flag(value, "^[0-9._/-]+$"),
-        "covered": (size - F.length(F.regexp_replace(F.lower(value), words, "")).cast("double")) / size, "placeholder": _flag(F.lower(value), PLACEHOLDERS),
-        "prefix": _flag(value, f"^(?:{PREFIXES})"), "uuid": _flag(value, "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
+        "covered": covered.cast("double") / size, "placeholder": _flag(F.lower(value), PLACEHOLDERS),
+        "prefix": _flag(value, f"^(?:{PREFIXES})"), "block": _flag(value, "^-----BEGIN"), "uuid": _flag(value, "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"),
         "dots": _count(value, "[.]"), "slashes": _count(value, "/"), "named": _flag(F.lower(F.concat(before, F.lit(" "), F.substring_index(value, "=", 1))), SECRET_WORDS),
         "benign": _flag(F.lower(F.concat(before, F.lit(" "), after)), f"\\b(?:{BENIGN_WORDS})"), "tested": _flag(F.lower(path), TEST_PATHS),
         "quoted": _flag(before, "[\"'`]$"), "assigned": F.greatest(_flag(before, "[=:][ \"']{0,2}$"), _flag(value, "^[a-z_]{3,16}=")), "dashes": _count(value, "-"),
@@ -78,21 +123,22 @@ def described(value: Column, before: Column, after: Column, path: Column) -> Col
     return F.struct(*(parts[n].alias(n) for n in FEATURES))
 
 
-def with_candidates(df: DataFrame, text: Column, path: Column) -> DataFrame:
+def with_candidates(df: DataFrame, text: Column, path: Column, bitmap: bytes) -> DataFrame:
     """Adds __values, __gaps (one more than values) and __described."""
-    some = text.rlike("[0-9]") | text.rlike(_HEAD)
+    some = text.rlike("[0-9]") | text.rlike(f"{_HEAD}|{PREFIXES}|PRIVATE KEY")
     none = F.array().cast("array<string>")
     df = df.withColumn("__values", F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
     df = df.withColumn("__heads", F.when(F.size("__values") > 0, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1))).otherwise(none))
     df = df.withColumn("__gaps", F.when(F.size("__values") > 0, F.split(text, CANDIDATE, -1)).otherwise(F.array(F.coalesce(text, F.lit("")))))
     df = df.withColumn("__gaps", F.transform("__gaps", lambda g, i: F.concat(g, F.coalesce(F.get("__heads", i), F.lit("")))))
     df = df.withColumn("__values", F.zip_with("__values", "__heads", lambda v, h: F.substring(v, F.length(h) + 1, F.length(v)))).drop("__heads")
-    near = lambda v, i: described(v, F.right(F.get("__gaps", i), F.lit(40)), F.left(F.get("__gaps", i + 1), F.lit(24)), path)
+    near = lambda v, i: described(v, F.right(F.get("__gaps", i), F.lit(40)), F.left(F.get("__gaps", i + 1), F.lit(24)), path, bitmap)
     return df.withColumn("__described", F.transform("__values", near))
 
 
-def labelled_findings(seed: int = 17, n: int = 2400) -> list[tuple[str, str, float]]:
-    """Path, text and label (1: a secret) of findings, written from a seed."""
+def labelled_findings(seed: int = 17, n: int = 4000, words: list[str] | None = None) -> list[tuple[str, str, float]]:
+    """Path, text and label (1: a secret) of findings, written from a seed;
+    ``words`` are the corpus' commonest ones."""
     r = random.Random(seed)
     chars = lambda alphabet, k: "".join(r.choice(alphabet) for _ in range(k))
     upper, lower, digits, hexes = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "0123456789abcdef"
@@ -102,7 +148,7 @@ def labelled_findings(seed: int = 17, n: int = 2400) -> list[tuple[str, str, flo
     cased = lambda: r.choice([str.lower, str.lower, str.upper, str.title])(r.choice(["", "", "db_"]) + named())
     equal = lambda: r.choice(["=", " = ", ": ", ":"])
     quoted = lambda x: r.choice(["'", '"']).join(["", x, ""])
-    spoken = "something never different nothing required string keeping between people morning letters patience because garden against another simple should people always number meeting market friends today without where little".split()
+    spoken = [*SPOKEN.split(), *(words or [])]
     prose = lambda a, b: " ".join(r.choice([r.choice(spoken), word() + word()]) for _ in range(r.randint(a, b)))
     secrets = [
         lambda: f"{named()}={chars(hexes, r.randint(14, 40))}", lambda: f'{named()} = "{chars(hexes, r.choice([32, 40, 64]))}"', lambda: "AKIA" + chars(upper + digits, 16),
@@ -111,6 +157,9 @@ def labelled_findings(seed: int = 17, n: int = 2400) -> list[tuple[str, str, flo
         lambda: f"{cased()}{equal()}{word().title()}{word()}{chars('!#%&@', 1)}", lambda: f"{cased()}{equal()}{quoted(chars(lower, r.randint(8, 20)))}", lambda: f"{cased()}{equal()}{quoted(word() + word() + '-' + word() + word())}",
         lambda: f"{cased()}{equal()}{word()}{word()}{chars(digits, r.randint(1, 4))}", lambda: f"{cased()}{equal()}{quoted(word() + chars(some, 3) + chars('!#%&@-', 1) + chars(some, 4))}", lambda: f'"{cased()}": "{word().title()}{chars(digits, 1)}{word()}{chars("!#%&@-", 1)}{chars(digits, 2)}"',
         lambda: f"{cased()}: {chars(some, 2)}{chars('!#%&@', 1)}{word()}{chars(digits, 1)}{chars('!#%&@', 1)}{chars(some, 5)}", lambda: f"{cased()} = {quoted(word()[:3] + chars(digits, 3) + word() + chars(digits, 2))}", lambda: f"{cased()}={quoted(' '.join(word() + word() for _ in range(r.randint(3, 5))))}",
+        *[lambda: f"{cased()}{equal()}{word()}{r.choice(['', word()])}{chars(digits, r.randint(1, 4))}"] * 2,
+        lambda: "AKIA" + chars(upper, 16), lambda: f"{cased()}{equal()}{chars(lower, r.randint(8, 20))}", lambda: f"{cased()}={word()}{chars('bcdfghkpqvwxz', 3)}{word()}{chars('bcdfghkpqvwxz', 2)}",
+        lambda: f"-----BEGIN {r.choice(['', 'RSA ', 'EC ', 'OPENSSH '])}PRIVATE KEY-----" + r.choice(["", f"\n{chars(some + '+/', 60)}\n{chars(some + '+/', 30)}=\n-----END PRIVATE KEY-----"]),
     ]
     others = [
         lambda: chars("4", 1) + chars(digits, 15), lambda: f"commit {chars(hexes, 40)}", lambda: f"sha256 {chars(hexes, 64)}", lambda: f"checksum: {chars(hexes, 32)}", lambda: f"uuid {chars(hexes, 8)}-{chars(hexes, 4)}-{chars(hexes, 4)}-{chars(hexes, 4)}-{chars(hexes, 12)}",
@@ -140,10 +189,11 @@ def _tree_sql(lines: list[str], at: int, depth: int) -> tuple[str, int]:
     return f"CASE WHEN f.{FEATURES[int(m[1])]} <= {float(m[2])!r}D THEN {yes} ELSE {no} END", end
 
 
-def train(spark: SparkSession, trees: int = 24, depth: int = 6) -> list[str]:
+def train(spark: SparkSession, bitmap: bytes, words: list[str], trees: int = 24, depth: int = 7) -> list[str]:
     """The forest, a SQL expression over the structure f for each tree."""
-    rows = spark.createDataFrame(labelled_findings(), "path string, text string, label double").coalesce(1)
-    found = with_candidates(rows, F.col("text"), F.col("path")).select("label", F.explode_outer("__described").alias("f")).filter("f is not null").select("label", "f.*")
+    made = json.dumps([dict(zip(("path", "text", "label"), x, strict=True)) for x in labelled_findings(words=words)])
+    rows = spark.range(1).select(F.inline(F.from_json(F.lit(made), "array<struct<path string, text string, label double>>"))).coalesce(1)
+    found = with_candidates(rows, F.col("text"), F.col("path"), bitmap).select("label", F.explode_outer("__described").alias("f")).filter("f is not null").select("label", "f.*")
     whole = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found).select("label", "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=3, featureSubsetStrategy="sqrt").fit(whole)
     out = []
@@ -152,10 +202,13 @@ def train(spark: SparkSession, trees: int = 24, depth: int = 6) -> list[str]:
     return out
 
 
-def with_votes(df: DataFrame, text: Column, path: Column, forest: list[str]) -> DataFrame:
-    """Adds __votes, the share of trees that call each candidate a secret."""
+def with_votes(df: DataFrame, text: Column, path: Column, docs: DataFrame) -> DataFrame:
+    """Adds __votes, the share of trees that call each candidate a secret; the
+    dictionary is that of ``docs``."""
+    bitmap, words = dictionary(docs)
+    forest = train(docs.sparkSession, bitmap, words)
     total = " + ".join(f"({t})" for t in forest)
-    return with_candidates(df, text, path).withColumn("__votes", F.expr(f"transform(__described, f -> ({total}) / {len(forest)})"))
+    return with_candidates(df, text, path, bitmap).withColumn("__votes", F.expr(f"transform(__described, f -> ({total}) / {len(forest)})"))
 
 
 def findings(docs: DataFrame, path: str = "source", threshold: float = 0.5) -> DataFrame:
@@ -163,7 +216,7 @@ def findings(docs: DataFrame, path: str = "source", threshold: float = 0.5) -> D
     share; offsets in characters) and the redacted text's hash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(path).cast("string").alias("path"))
-    rows = with_votes(rows, F.col("text"), F.col("path"), train(docs.sparkSession))
+    rows = with_votes(rows, F.col("text"), F.col("path"), docs)
     # where each candidate starts: the lengths of all gaps and values before it
     starts = F.expr("""
         aggregate(arrays_zip(__values, slice(__gaps, 1, size(__values))), named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>)),
@@ -184,7 +237,7 @@ def redacted(docs: DataFrame, path: str = "source", threshold: float = 0.5) -> D
     """``docs`` with each secret of ``text`` replaced, and n_chars, where there
     is one, counted anew; all rows stay."""
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # no name in it can clash
-    rows = with_votes(packed, F.col("row.text").cast("string"), F.col(f"row.`{path}`").cast("string"), train(docs.sparkSession))
+    rows = with_votes(packed, F.col("row.text").cast("string"), F.col(f"row.`{path}`").cast("string"), docs)
     found = F.exists("__votes", lambda v: v >= threshold)
     changed = {"text": F.when(found, _redacted(threshold)).otherwise(F.col("row.text")).alias("text")}
     if "n_chars" in docs.columns:
