@@ -9,7 +9,8 @@ Training sees at most ``most`` labelled rows, those of smallest hash; this
 bound keeps the one training task and the weights of a fixed size. Scoring
 covers every whole text.
 
-Cases: a null text counts as empty, whose score is that of the bias alone;
+Cases: a null text counts as empty, whose score is that of the bias alone; a
+text of any length is scored whole, as one unit vector;
 labels that are null or for unknown documents are ignored; of a document's
 several labels the largest counts; rows that share a doc_id are scored
 separately; a null doc_id is not held out; without labels every score is 0.5;
@@ -26,14 +27,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_slices, text_slices, whole_texts
+from ._common import Memo, map_slices, text_slices, whole_texts
 
 BITS, ORDERS = 18, 3
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _SAME = xxhash.xxh64_intdigest(b"same", seed=2)
 _STEPS = (np.random.default_rng(7).integers(0, 2**63, 2 * ORDERS * ORDERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).reshape(2, ORDERS, ORDERS)
 
-_known: dict[str, int] = {}
 _hashes: list[tuple[int, int]] = []
 
 
@@ -47,15 +47,28 @@ def _form(word: str) -> str:
     return "Aa" if word[0].isupper() else "a"
 
 
+def _number(word: str) -> int:
+    _hashes.append((xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(_form(word), seed=1)))
+    return len(_hashes) - 1
+
+
+class _Numbers(Memo):
+    """Words' places in _hashes, forgotten together with it."""
+
+    def forget(self) -> None:
+        super().forget()
+        _hashes.clear()
+
+    age = forget
+
+
+_known = _Numbers("words of the quality classifier", _number, 48 << 20)
+
+
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and their values."""
-    if len(_known) > 400_000:
-        _known.clear()
-        _hashes.clear()
+    _known.begin()
     words = _TOKEN.findall(text)
-    for w in set(words).difference(_known):
-        _known[w] = len(_hashes)
-        _hashes.append((xxhash.xxh64_intdigest(w.lower()), xxhash.xxh64_intdigest(_form(w), seed=1)))
     if not words:
         return np.empty(0, np.int64), np.empty(0)
     ids = np.fromiter(map(_known.__getitem__, words), np.int64, len(words))
