@@ -10,16 +10,19 @@
 
 What is shuffled by pre-token is a block's short list per bucket, so a
 frequent word weighs no more than a rare one: buckets are of even size
-whatever the texts hold. A pre-token that needs the library whole (beyond
-Latin-1, or with a special string) is its white-space chunk, marked.
-
-Cases: a null text counts as empty, 0 bytes and 0 tokens; rows that share a
-doc_id, or have none, are counted separately; an empty table yields no rows;
-other columns are left out.
+whatever the texts hold. Pre-tokens are written in the letters that stand for
+bytes, among which there is no blank; a blank leads a special string, which
+the library counts as it stands.
+
+Cases: a null text counts as empty, 0 bytes and 0 tokens; a text of any length
+is counted whole, one longer than a block being a block of its own; rows that
+share a doc_id, or have none, are counted separately; an empty table yields no
+rows; other columns are left out.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -30,21 +33,33 @@ from pyspark.sql import functions as F
 from ._common import materialize, text_slices, whole_texts
 from .tokens import byte_level, encoder
 
-_WHOLE = "\0"  # leads a pre-token that is encoded as text and not as one piece
-BUCKETS, BLOCK_BYTES, BLOCK_ROWS = 1024, 24 << 20, 1 << 16
-REMEMBERED = 300_000  # counts that a worker keeps at most
+BUCKETS, BLOCK_BYTES, BLOCK_ROWS = 1024, 8 << 20, 1 << 16
+REMEMBERED = 200_000  # counts that a worker keeps at most
 
 BLOCKS = "block long, doc_ids array<long>, n_bytes array<long>, n_terms array<long>, vocabulary array<array<string>>, terms binary, frequencies binary"
 _KINDS = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.string())), pa.binary(), pa.binary()]
 
 
-def _parts(coder, text: str) -> list[str]:
-    found = coder.pre_tokens(text)
-    if found is not None:
-        return found
-    if any(s in text for s in coder.specials):
-        return [_WHOLE + text]
-    return [_WHOLE + x for x in text.replace("\n", " ").split(" ") if x]
+class Terms:
+    """A block's pre-tokens and their numbers."""
+
+    def __init__(self, coder):
+        self.coder, self.number = coder, {}
+        self.special = re.compile("(" + "|".join(map(re.escape, coder.specials)) + ")") if coder.specials else None
+
+    def numbers(self, text: str) -> np.ndarray:
+        """The numbers of a text's pre-tokens, in order."""
+        number = self.number
+        if self.special and self.coder.special(text):
+            parts = self.special.split(text)
+            found = [x for k, part in enumerate(parts) for x in ([(" " + part,)] if k % 2 else self.coder.cut(part))]
+        else:
+            found = self.coder.cut(text)
+        return np.fromiter((number.setdefault(x, len(number)) for x in found), np.uint32, len(found))
+
+    def words(self) -> list[str]:
+        """By number, in the letters that stand for bytes; special strings after a blank."""
+        return [x[0] if isinstance(x, tuple) else byte_level(x) for x in self.number]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -67,21 +82,25 @@ def frequency_blocks(docs: DataFrame, tokenizer: str) -> DataFrame:
         task, made = TaskContext.get().partitionId(), 0
         coder = encoder(tokenizer, False)
         for batch in text_slices(batches, max_bytes=BLOCK_BYTES, max_rows=BLOCK_ROWS):
-            number: dict[str, int] = {}
-            keys, sizes = [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            terms = Terms(coder)
+            sizes, owned, times = [], [], []
+            for text in batch.column("text").to_pylist():
                 sizes.append(len(text) if text.isascii() else len(text.encode()))
-                terms = np.fromiter((number.setdefault(x, len(number)) for x in _parts(coder, text)), np.int64)
-                keys.append(terms | i << 32)
-            words = list(number)
+                own, n = np.unique(terms.numbers(text), return_counts=True)
+                owned.append(own)
+                times.append(n.astype(np.uint32))
+            words = terms.words()
+            del terms
             bucket = np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in words), np.int64, len(words))
             order = np.argsort(bucket, kind="stable")
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
             ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
             vocabulary = [[words[k] for k in order[a:b]] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            flat = np.concatenate(keys)
-            pairs, counts = np.unique(flat & ~0xFFFFFFFF | place[flat & 0xFFFFFFFF], return_counts=True)
+            counts = np.concatenate(times)
+            pairs = np.repeat(np.arange(len(sizes)) << 32, list(map(len, owned))) | place[np.concatenate(owned)]
+            order = np.argsort(pairs)
+            pairs, counts = pairs[order], counts[order]
             owner, term = pairs >> 32, pairs & 0xFFFFFFFF
             steps = np.diff(term, prepend=0)
             heads = np.diff(owner, prepend=-1) != 0
@@ -99,14 +118,15 @@ def count_pieces(lists: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(batches):
         coder = encoder(tokenizer, False)
-        known: dict[str, int] = {}
+        known, last = {}, None
         for batch in batches:
             out = []
-            for words in batch.column("words").to_pylist():
-                if len(known) > REMEMBERED:
-                    known.clear()
+            for bucket, words in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                words = words.as_py()
+                if bucket != last or len(known) > REMEMBERED:  # the next bucket's pre-tokens are others
+                    known, last = {}, bucket
                 for w in set(words).difference(known):
-                    known[w] = len(coder.whole([w[1:]])[0]) // 4 if w[:1] == _WHOLE else len(coder.tokenizer.model.tokenize(byte_level(w)))
+                    known[w] = len(coder.tokenizer.encode(w[1:], add_special_tokens=False)) if w[0] == " " else len(coder.tokenizer.model.tokenize(w))
                 out.append(_planes(np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "pieces"])
 

@@ -1,12 +1,12 @@
 """Exact token ids from a tokenizers-library file, fast on repetitive text.
 
 The library's own steps are kept apart: a text is normalised and cut into
-pre-tokens as the file says, the library's model turns each distinct pre-token
-into ids once per worker, and a text's ids are those of its pre-tokens in
-order. Texts within Latin-1 are cut by a pattern here (below U+0100 the
-character classes are fixed and NFC changes nothing); other texts are cut at
-white space, where no pre-token crosses, and the library gets each distinct
-chunk; texts with special strings go to the library whole.
+pre-tokens as the file says, and the library's model turns each distinct
+pre-token into ids once. What lies within Latin-1 is cut by a pattern here
+(below U+0100 the character classes are fixed and NFC changes nothing); other
+texts are cut at blanks, where no pre-token crosses, and what is not Latin-1
+goes through the library's normaliser and cutter. Texts with special strings
+go to the library whole. What a worker remembers is bounded by bytes.
 """
 
 from __future__ import annotations
@@ -14,19 +14,21 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
+from ._common import Memo
+
 # Letters, numbers and white space below U+0100.
 LETTERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
 NUMBERS = "0-9\xb2\xb3\xb9\xbc\xbd\xbe"
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 
-_SPACED = re.compile(f"{CONTRACTIONS}| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
-_WORDS = re.compile(f"{CONTRACTIONS}|[{LETTERS}]+|[{NUMBERS}]|[^{BLANKS}{LETTERS}{NUMBERS}]+")
+_SPACED = re.compile(f" ?[{LETTERS}]+| ?[{NUMBERS}]+|{CONTRACTIONS}| ?[^{BLANKS}{LETTERS}{NUMBERS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
+_WORDS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|{CONTRACTIONS}|[^{BLANKS}{LETTERS}{NUMBERS}]+")
 _BLANKS_MEET = re.compile(r"\s\s")
+_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -41,6 +43,8 @@ _LETTER_OF_BYTE = _byte_letters()
 
 
 def byte_level(piece: str) -> str:
+    if piece.isascii() and piece.isalnum():
+        return piece
     return piece.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
 
 
@@ -67,49 +71,50 @@ class Encoder:
 
     keep_space: the vocabulary's pieces hold the blank before a word
     (byte-level); otherwise texts are lower-cased and white space is dropped
-    (word ends). ``remembered`` bounds the kept pieces, and so the memory.
+    (word ends). ``remembered`` bounds the bytes of the pre-tokens kept.
     """
 
-    def __init__(self, path: str, keep_space: bool, remembered: int = 700_000):
-        self.tokenizer, self.keep_space, self.remembered = load(path), keep_space, remembered
+    def __init__(self, path: str, keep_space: bool, remembered: int = 96 << 20):
+        self.tokenizer, self.keep_space = load(path), keep_space
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
+        self.known = Memo(f"ids of {path}", self._ids, remembered)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """The library's own answer for whole texts."""
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def pre_tokens(self, text: str) -> list[str] | None:
-        """A Latin-1 text's pre-tokens; None for texts that need the library."""
-        if not is_latin(text) or any(s in text for s in self.specials):
-            return None
-        return _SPACED.findall(text) if self.keep_space else _WORDS.findall(text.lower())
+    def special(self, text: str) -> bool:
+        return any(s in text for s in self.specials)
 
-    def pieces_of(self, pre_token: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(byte_level(pre_token))]
+    def _latin(self, text: str) -> list[str]:
+        return _SPACED.findall(text) if self.keep_space else _WORDS.findall(text.lower())
 
-    def _other(self, text: str) -> bytes:
-        if any(s in text for s in self.specials) or (self.keep_space and _BLANKS_MEET.search(text)):
-            return self.whole([text])[0]
+    def cut(self, text: str) -> list:
+        """A text's pre-tokens; beyond Latin-1 they stand in the letters for
+        bytes, each in a tuple, and all others as they are."""
+        if is_latin(text):
+            return self._latin(text)
         if self.keep_space:
-            head, *rest = text.split(" ")
-            parts = [head, *(" " + x for x in rest)]
+            head, *rest = _BETWEEN.split(text) if _BLANKS_MEET.search(text) else text.split(" ")
+            chunks = [head, *(" " + x for x in rest)]
         else:
-            parts = text.replace("\n", " ").split(" ")
-        if new := list(set(parts).difference(self.chunks)):
-            self.chunks.update(zip(new, self.whole(new), strict=True))
-        return b"".join(map(self.chunks.__getitem__, parts))
+            chunks = text.replace("\n", " ").split(" ")
+        normal, cutter, found = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer, []
+        for chunk in chunks:
+            if is_latin(chunk):
+                found += self._latin(chunk)
+            else:
+                found += [(x,) for x, _ in cutter.pre_tokenize_str(normal.normalize_str(chunk) if normal else chunk)]
+        return found
+
+    def _ids(self, pre_token) -> bytes:
+        letters = pre_token[0] if isinstance(pre_token, tuple) else byte_level(pre_token)
+        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for cache in (self.known, self.chunks):
-            if len(cache) > self.remembered:
-                cache.clear()
-        parts = [self.pre_tokens(t) for t in texts]
-        for piece in set(chain.from_iterable(p for p in parts if p is not None)).difference(self.known):
-            self.known[piece] = np.asarray(self.pieces_of(piece), "<u4").tobytes()
+        self.known.begin()
         get = self.known.__getitem__
-        return [self._other(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+        return [self.whole([t])[0] if self.special(t) else b"".join(map(get, self.cut(t))) for t in texts]
 
 
 _encoders: dict[tuple[str, bool], Encoder] = {}
