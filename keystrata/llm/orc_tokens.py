@@ -5,7 +5,11 @@ files in ascending doc_id order: integer run-length encoding for the id lists,
 a row index per ``row_index_stride`` rows and a Bloom filter on doc_id, so a
 reader takes stripes in parallel and skips those that cannot hold an id.
 
-Cases: a null text counts as empty and yields the end id alone; rows with a
+Beside the files, a small table holds the number of ids in each, so that a
+read of a few documents opens no other file to know where they start.
+
+Cases: a null text counts as empty and yields the end id alone; a text of any
+length is one row, encoded whole; rows with a
 null doc_id come first; rows that share a doc_id stay separate rows, ordered
 by their text's hash; an empty table writes no rows; other columns are left
 out. Rows are dealt by ranges of (doc_id, hash), so no key fills one task.
@@ -57,18 +61,21 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, keep_space: bool =
         "orc.stripe.size": str(stripe_bytes), "orc.row.index.stride": str(row_index_stride), "orc.create.index": "true",
         "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": str(bloom_fpp), "compression": "zstd",
     }
-    encoded_in_order(docs, tokenizer, keep_space, end_id).write.options(**options).orc(path)
+    spark = docs.sparkSession
+    encoded_in_order(docs, tokenizer, keep_space, end_id).write.options(**options).orc(f"{path}/tokens")
+    stored = spark.read.schema(STORED).orc(f"{path}/tokens")
+    # one row of two numbers per file; the widest thing here that a single task sees
+    sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")).write.orc(f"{path}/starts")
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None, first: int | None = None, last: int | None = None, broadcast_files: int = 500_000) -> DataFrame:
     """Stored rows with ``start``, the ids of all documents before each one.
     A list or a range of ids reaches the ORC reader, which prunes stripes and
     row groups by their statistics and Bloom filters."""
-    stored = spark.read.schema(STORED).orc(path)
-    # one row of two numbers per file; the widest thing here that a single task sees
-    sums = stored.groupBy("part").agg(F.sum("n_tokens").alias("n"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    stored = spark.read.schema(STORED).orc(f"{path}/tokens")
+    base = spark.read.schema("part int, base long").orc(f"{path}/starts")
     if len(stored.inputFiles()) <= broadcast_files:
         base = F.broadcast(base)  # else both sides are shuffled
     if doc_ids is not None:
