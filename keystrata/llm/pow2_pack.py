@@ -5,11 +5,13 @@ as many of the full length as fit, then one piece for each set bit of the
 rest, longest first. Pieces of equal length share a bucket, and each piece is
 a sequence of its bucket's length: nothing is padded and no sequence crosses
 documents. A piece never leaves the task that read its document, so there is
-no shuffle; ``write_buckets`` lays the buckets out as folders.
+no shuffle; ``write_buckets`` lays the buckets out as folders, and
+``read_buckets`` reads all or those of some lengths, others unopened.
 
-Cases: a null text counts as empty and yields one piece with the end id; rows
-that share a doc_id, or have none, are packed as separate documents; an empty
-table yields no pieces; other columns are left out.
+Cases: a null text counts as empty and yields one piece with the end id; a
+text of any length is cut whole; rows that share a doc_id, or have none, are
+packed as separate documents; an empty table yields no pieces; other columns
+are left out.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import text_slices, whole_texts
+from ._common import shared_folder, text_slices, whole_texts
 from .tokens import encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
@@ -58,13 +60,14 @@ def pack(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int =
                     for k, v in zip(rows, (doc, at, size, zlib.crc32(piece), n, (size.bit_length() - 1) << 58 | task << 34 | made), strict=True):
                         rows[k].append(v)
                     if with_ids:
-                        held.append(np.frombuffer(piece, "<u4").astype(np.int32))
+                        held.append(piece)
                     made += 1
                     at += size
             columns = [pa.array(v, pa.int64()) for v in rows.values()]
             columns += [pa.array(np.zeros(len(rows["doc_id"]), np.int64)), pa.array(rows["length"], pa.int32())]
             if with_ids:
-                columns.append(pa.array(held, pa.list_(pa.int32())))
+                ends = np.concatenate(([0], np.cumsum(rows["length"]))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
 
     return whole_texts(docs).mapInArrow(run, schema)
@@ -72,4 +75,33 @@ def pack(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int =
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """The pieces with their ids, a folder for each length."""
-    pieces.withColumn("sequence_length", F.col("bucket")).write.partitionBy("sequence_length").parquet(path)
+    pieces.withColumn("sequence_length", F.col("bucket")).write.option("compression", "zstd").partitionBy("sequence_length").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, sequence_lengths: list[int] | None = None) -> DataFrame:
+    """Stored pieces; lengths that are not asked for are not opened."""
+    stored = spark.read.schema(PIECES + ", ids array<int>, sequence_length int").parquet(path)
+    return stored if sequence_lengths is None else stored.filter(F.col("sequence_length").isin(sequence_lengths))
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """The columns of PIECES, length and CRC-32 taken from the ids as stored."""
+    names = [x.split()[0] for x in PIECES.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("ids")
+            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
+            at = lists.offsets.to_numpy()
+            own = {"length": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())}
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(n) for n in names], names=names)
+
+    return pieces.select(*[n for n in names if n not in ("length", "ids_crc32")], "ids").mapInArrow(run, PIECES)
+
+
+def packed(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int = 0, full: int = 1024) -> DataFrame:
+    """The pieces of ``docs``, laid out by bucket in the shared folder and read
+    back: a row for each, its length and CRC-32 taken from the stored ids."""
+    path = shared_folder(docs.sparkSession)
+    write_buckets(pack(docs, tokenizer, keep_space, end_id, full, with_ids=True), path)
+    return digests(read_buckets(docs.sparkSession, path))

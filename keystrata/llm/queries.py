@@ -67,7 +67,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pow2_pack.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return pow2_pack.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
