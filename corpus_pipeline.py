@@ -5,6 +5,16 @@ Every stage but the last returns the columns of its input; each is written as
 Parquet to the shared folder and read again for the next. The stages are
 models and searches that SQL cannot express, so ORACLE_SQL is None and the
 tests hold the pipeline against brute force.
+
+Cases, stage by stage: a null or empty text scores as the classifier's bias,
+so it stays or goes like any other (with no labels at all every score is 0.5
+and all documents go); texts without words are no duplicates; a null text
+stays null in the secret scan and packs as its end id alone. A text of any
+length is taken whole in every stage. Rows are documents of their own: of rows
+with equal or nearly equal texts one stays, and different texts under one
+doc_id, or under none, all stay. Mixing repeats rows and drops none. An empty
+table yields an empty table in every stage, and further columns of whatever
+name pass through to mixing.
 """
 
 from __future__ import annotations
