@@ -36,6 +36,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialize
+
 _RUN = "[A-Za-z0-9_/+=.-]"
 _NAME = "(?i:password|passwd|secret|api_key|apikey|token)"
 _PLAIN = "(?:[^\\s\"',;]|[,;](?![\\s\"',;]|\\z)){6,}+"
@@ -49,7 +51,7 @@ _ISSUED = f"(?<!{_RUN})(?:{PREFIXES}){_RUN}{{12,}}+"
 # group 1, the head of a named value, is not part of the candidate
 CANDIDATE = f"{_KEY_BLOCK}|{_ISSUED}|{_LONG}(?={_RUN}{{12}}){_RUN}*?{_NAME}={_PLAIN}|((?<!{_RUN}){_RUN}*?{_HEAD})(?:{_QUOTED}|{_PLAIN})|{_LONG}{_RUN}{{12,}}+"
 
-MOST_WORDS, LEAST_DOCS, BITS = 65_536, 3, 1 << 21
+MOST_WORDS, LEAST_DOCS, BITS = 16_384, 3, 1 << 19
 
 # Words that configurations are full of, and words that speak for or against a secret.
 DICTIONARY = "the and for that with this from have not are was page file test user name data key value image index main config sample local admin hello world order report version release build module class string table model number"
@@ -194,7 +196,7 @@ def train(spark: SparkSession, bitmap: bytes, words: list[str], trees: int = 24,
     made = json.dumps([dict(zip(("path", "text", "label"), x, strict=True)) for x in labelled_findings(words=words)])
     rows = spark.range(1).select(F.inline(F.from_json(F.lit(made), "array<struct<path string, text string, label double>>"))).coalesce(1)
     found = with_candidates(rows, F.col("text"), F.col("path"), bitmap).select("label", F.explode_outer("__described").alias("f")).filter("f is not null").select("label", "f.*")
-    whole = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(found).select("label", "features")
+    whole = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(found)).select("label", "features")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=3, featureSubsetStrategy="sqrt").fit(whole)
     out = []
     for text in re.split(r"\n\s*Tree \d+ \(weight [0-9.]+\):\n", forest.toDebugString)[1:]:
