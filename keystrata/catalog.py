@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import seed_hex
 from .functions.keys import valid_key
-from .operators import cache, compaction, integrity, pruning, ratelimit, reads, sketches, versions
+from .config import Config
+from .operators import cache, compaction, integrity, keyed_sketches, pruning, ratelimit, reads, sketches, versions
+from .plans.store import Store
 from .sources import oplog, records, scratch, wal
 from .sources import runs as run_files
 
@@ -139,7 +141,7 @@ def wal_append(spark, sf_dir):
     return _wal(spark, sf_dir).drop("crc")
 
 
-@query(f"SELECT 'wal_' || lpad(CAST(seq // {SEGMENT} + 1 AS VARCHAR), 5, '0') || '.log' AS segment, count(*) AS n FROM log GROUP BY ALL")
+@query(f"SELECT format('wal_{{:05d}}.log', seq // {SEGMENT} + 1) AS segment, count(*) AS n FROM log GROUP BY ALL")
 def wal_segment_counts(spark, sf_dir):
     return wal.segment_counts(_wal(spark, sf_dir))
 
@@ -155,16 +157,30 @@ def wal_truncate(spark, sf_dir):
     return wal.truncated(_wal(spark, sf_dir), 3).select("k", "seq", "segment")
 
 
-@query()
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return oplog.from_events(spark, sf_dir).select("seq", records.encoded(F.col("k"), F.col("value"), F.col("tombstone"), F.col("ts")).alias("data"))
+
+
+@query("SELECT NOT tombstone AS valid, count(*) AS n FROM log GROUP BY ALL")
 def crc_check(spark, sf_dir):
-    return wal.checked(_wal(spark, sf_dir)).groupBy("valid").agg(F.count("*").alias("n"))
+    """The records' bytes, in which every deletion mark was wiped out: the
+    checksum tells those that had one."""
+    stored = _records(spark, sf_dir)
+    wiped = F.concat(F.substring("data", 1, 12), F.lit(b"\0"), F.substring("data", 14, 2**30))
+    return stored.select(records.fields(wiped)["valid"].alias("valid")).groupBy("valid").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT seq, lower(hex(encode(k))) AS key_hex, 29 + strlen(k) + strlen(value) AS bytes FROM log""")
+@query("""SELECT seq, k, value, tombstone, ts, true AS valid, 29 + strlen(k) + strlen(value) AS bytes FROM log""")
 def record_codec(spark, sf_dir):
-    log = oplog.from_events(spark, sf_dir)
-    body = records.encoded(F.col("k"), F.col("value"), F.col("tombstone"), F.col("ts"))
-    return log.select("seq", F.lower(F.hex(F.substring(body, 30, F.length("k")))).alias("key_hex"), F.length(body).cast("long").alias("bytes"))
+    """Records written as bytes and read back field by field."""
+    read = _records(spark, sf_dir).select("seq", records.fields(F.col("data")).alias("r"), F.length("data").cast("long").alias("bytes"))
+    return read.select("seq", "r.k", F.decode("r.value", "utf-8").alias("value"), "r.tombstone", "r.ts", "r.valid", "bytes")
+
+
+@query("SELECT max(ts) < epoch(now()) AS past FROM log")
+def log_is_past(spark, sf_dir):
+    """The clock that stamps new records is ahead of all that the log holds."""
+    return oplog.from_events(spark, sf_dir).agg((F.max("ts") < F.unix_timestamp()).alias("past"))
 
 
 # ------------------------------------------------------------------- runs
@@ -180,7 +196,8 @@ def run_meta(spark, sf_dir):
     return pruning.run_meta(_runs(spark, sf_dir))
 
 
-@query("SELECT a.level, a.gen AS a, b.gen AS b FROM meta a JOIN meta b USING (level) WHERE a.gen < b.gen AND NOT (a.lo > b.hi OR a.hi < b.lo)")
+@query("""SELECT a.level, a.gen, (SELECT count(*) FROM meta b WHERE b.level = a.level AND b.gen <> a.gen AND NOT (a.lo > b.hi OR a.hi < b.lo)) AS met,
+  CASE WHEN lead(a.lo) OVER w <= a.hi THEN lead(a.gen) OVER w END AS neighbour FROM meta a WINDOW w AS (PARTITION BY a.level ORDER BY a.lo, a.gen)""")
 def run_overlap(spark, sf_dir):
     return pruning.overlaps(pruning.run_meta(_runs(spark, sf_dir)))
 
@@ -198,9 +215,35 @@ def sparse_summary(spark, sf_dir):
     return pruning.sparse_summary(_runs(spark, sf_dir), STEP)
 
 
-@query(f"""SELECT gen, row_number() OVER (ORDER BY gen) - 1 AS new_gen, level FROM meta WHERE gen % 3 <> 0""")
+@query(f", {DENSE}, s AS (SELECT level, gen, max(i) AS start FROM dense WHERE i % {STEP} = 0 AND base_key <= '{KEY}' GROUP BY ALL) SELECT level, gen, start AS i, base_key AS sampled FROM s JOIN dense USING (level, gen) WHERE i = start")
+def sparse_floor(spark, sf_dir):
+    return pruning.floor_key(pruning.sparse_summary(_runs(spark, sf_dir), STEP), KEY)
+
+
+@query(f", {DENSE} SELECT level, gen, i FROM dense WHERE base_key = '{KEY}'")
+def dense_lookup(spark, sf_dir):
+    index = pruning.dense_index(_runs(spark, sf_dir))
+    return pruning.lookup(index, index.filter(F.col("i") % STEP == 0), KEY, STEP)
+
+
+@query(f", {DENSE}, w AS (SELECT level, gen, max(i) AS i FROM dense GROUP BY ALL) SELECT level, gen, i, base_key FROM dense JOIN w USING (level, gen, i)")
+def dense_positions(spark, sf_dir):
+    """The last entry of each run, found by its position."""
+    index = pruning.dense_index(_runs(spark, sf_dir))
+    return pruning.at_positions(index, index.groupBy("level", "gen").agg(F.max("i").alias("i")))
+
+
+_REST = f"""target AS (SELECT * FROM meta WHERE gen = 0),
+over AS (SELECT m.gen FROM meta m, target t WHERE NOT (m.lo > t.hi OR m.hi < t.lo) AND (SELECT count(*) FROM meta) >= {MINIMUM}),
+rest AS (SELECT gen, row_number() OVER (ORDER BY gen) - 1 AS new_gen FROM meta WHERE gen NOT IN (SELECT gen FROM over))"""
+
+
+@query(f", {_REST} SELECT CAST(0 AS BIGINT) AS level, gen, new_gen FROM rest")
 def renumber(spark, sf_dir):
-    return compaction.renumbered(_runs(spark, sf_dir).filter(F.col("gen") % 3 != 0))
+    """The runs that a leveled compaction leaves in level 0, numbered anew."""
+    meta = pruning.run_meta(_runs(spark, sf_dir))
+    stay = compaction.leveled_plan(meta, MINIMUM, LEVELS).filter("to_level = 0").select("level", "gen")
+    return compaction.renumbered(stay)
 
 
 _T = f"""t0 AS (SELECT count(DISTINCT gen) AS n FROM runs),
@@ -220,9 +263,7 @@ def compact_size_tiered(spark, sf_dir):
     return compaction.size_tiered(_runs(spark, sf_dir), MINIMUM, LEVELS)
 
 
-@query(f""", target AS (SELECT * FROM meta WHERE gen = 0),
-over AS (SELECT m.gen FROM meta m, target t WHERE NOT (m.lo > t.hi OR m.hi < t.lo) AND (SELECT count(*) FROM meta) >= {MINIMUM}),
-rest AS (SELECT gen, row_number() OVER (ORDER BY gen) - 1 AS new_gen FROM meta WHERE gen NOT IN (SELECT gen FROM over)),
+@query(f""", {_REST},
 placed AS (SELECT r.* EXCLUDE (level, gen), CASE WHEN x.gen IS NULL THEN 1 ELSE 0 END AS level, coalesce(x.new_gen, 0) AS gen FROM runs r LEFT JOIN rest x ON x.gen = r.gen),
 merged AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY level, gen, base_key ORDER BY ts DESC, seq DESC) AS n FROM placed) WHERE n = 1)
 SELECT CAST(level AS BIGINT) AS level, gen, base_key, value_type, value, tombstone, ts, seq FROM merged
@@ -282,15 +323,26 @@ def run_bloom_bits(spark, sf_dir):
     return pruning.run_bloom(_runs(spark, sf_dir), BLOOM_M, BLOOM_K)
 
 
-_BITS = f"x AS (SELECT DISTINCT base_key FROM runs WHERE gen = 0), bits AS (SELECT DISTINCT unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM x)"
+def grown_sql(x: str, i: str, m: str) -> str:
+    """The hash of the SQL text x by the seed in i, modulo m, both SQL expressions."""
+    return f"CAST(('0x' || substr(md5(CAST({x} AS BLOB) || unhex(printf('%08x', {i}) || repeat('00', 28))), 1, 16))::UBIGINT % CAST({m} AS UBIGINT) AS BIGINT)"
 
 
-@query(f""", {_BITS}, p AS (SELECT 'u' || c_custkey AS base_key FROM customer), h AS (SELECT base_key, unnest({hash_sql('base_key', BLOOM_K, BLOOM_M)}) AS bit FROM p)
+def bloom_sql(n: str, p: float) -> str:
+    """Bits m and hashes k for n elements, from a table or query n with a column n."""
+    return f"SELECT m, CAST(ceil(m / n * ln(2.0::DOUBLE)) AS BIGINT) AS k FROM (SELECT n, CAST(ceil(n * abs(ln({p}::DOUBLE)) / pow(ln(2.0::DOUBLE), 2)) AS BIGINT) AS m FROM {n})"
+
+
+@query(f""", x AS (SELECT DISTINCT base_key FROM log), c AS (SELECT count(*) AS n FROM x), size AS ({bloom_sql('c', 0.01)}),
+bits AS (SELECT DISTINCT {grown_sql('base_key', 'i', 'm')} AS bit FROM (SELECT base_key, m, unnest(range(1, k + 1)) AS i FROM x, size)),
+h AS (SELECT base_key, {grown_sql('base_key', 'i', 'm')} AS bit FROM (SELECT 'u' || c_custkey AS base_key, m, unnest(range(1, k + 1)) AS i FROM customer, size))
 SELECT base_key, count(*) = count(b.bit) AS may_contain FROM h LEFT JOIN bits b USING (bit) GROUP BY base_key""")
 def bloom_probe(spark, sf_dir):
-    bits = sketches.bloom_bits(_runs(spark, sf_dir).filter("gen = 0"), "base_key", BLOOM_M, BLOOM_K)
+    """The filter of the whole log, sized by its distinct keys, asked for every customer."""
+    log = oplog.from_events(spark, sf_dir)
+    m, k = sketches.bloom_size(max(1, log.select("base_key").distinct().count()), 0.01)
     probes = oplog.table(spark, sf_dir, "customer").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("base_key"))
-    return sketches.bloom_probe(probes, "base_key", bits, BLOOM_M, BLOOM_K)
+    return sketches.bloom_probe(probes, "base_key", sketches.bloom_bits(log, "base_key", m, k), m, k)
 
 
 _MORE_M, _MORE_K = sketches.bloom_size(500, 0.01)
@@ -369,9 +421,12 @@ def hll_estimate(spark, sf_dir):
     return sketches.hll_estimate(hll_registers(spark, sf_dir), HLL_P)
 
 
-@query()
+@query("SELECT count(DISTINCT o_custkey) AS exact, true AS close FROM orders", over_log=False)
 def hll_native(spark, sf_dir):
-    return sketches.hll_native(oplog.table(spark, sf_dir, "orders"), "o_custkey")
+    """The engine's own sketch, which is to be within a twentieth."""
+    orders = oplog.table(spark, sf_dir, "orders")
+    exact = orders.agg(F.countDistinct("o_custkey").alias("exact")).first()["exact"]
+    return sketches.hll_native(orders, "o_custkey").select(F.lit(exact).cast("long").alias("exact"), (F.abs(F.col("estimate") - exact) <= 0.05 * exact).alias("close"))
 
 
 _SIMHASH = """w AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), ' ')) AS word FROM documents),
@@ -405,6 +460,186 @@ def sketch_sizes(spark, sf_dir):
     return grid.select("n", "p", "epsilon", "delta", *sketches.size_columns(F.col("n"), F.col("p"), F.col("epsilon"), F.col("delta")))
 
 
+# -------------------------------------------- sketches as values of keys
+
+SKETCH = Config(hll_p=8, cms_epsilon=0.05, cms_delta=0.01, bloom_n=200, bloom_p=0.01)
+
+
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users of each type of event."""
+    return oplog.table(spark, sf_dir, "events").select(F.col("event_type").alias("base_key"), F.col("user_id").cast("string").alias("item"), F.unix_seconds(F.col("ts").cast("timestamp")).alias("ts"))
+
+
+def _put(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return keyed_sketches.written(keyed_sketches.cells(_items(spark, sf_dir).select("base_key", "item"), kind, SKETCH))
+
+
+def _updated(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Put with what came up to AS_OF, updated with what came after."""
+    items = _items(spark, sf_dir)
+    values = keyed_sketches.written(keyed_sketches.cells(items.filter(F.col("ts") <= AS_OF).select("base_key", "item"), kind, SKETCH))
+    return keyed_sketches.updated(values, items.filter(F.col("ts") > AS_OF).select("base_key", "item"), kind, SKETCH)
+
+
+_KEYED = "x AS (SELECT event_type AS base_key, CAST(user_id AS VARCHAR) AS item, count(*) AS times FROM events GROUP BY ALL)"
+_KM, _KK = keyed_sketches.sizes("cms", SKETCH)
+_BM, _BK = keyed_sketches.sizes("bloom", SKETCH)
+_KEYED_CELLS = {
+    "hll": """c AS (SELECT base_key, cell, max(n) AS n FROM (SELECT base_key, CAST(ascii(md5(item)[1]) AS BIGINT) AS cell, ascii(md5(item)[32]) AS a,
+      CAST(CASE WHEN a & 1 = 1 THEN 0 WHEN a & 3 = 2 THEN 1 WHEN a & 7 = 4 THEN 2 WHEN a & 15 = 8 THEN 3 WHEN a & 31 = 16 THEN 4 ELSE 5 END AS BIGINT) AS n FROM x) GROUP BY ALL)""",
+    "cms": f"c AS (SELECT base_key, cell, CAST(sum(times) AS BIGINT) AS n FROM (SELECT base_key, times, unnest(range({_KK})) * {_KM} + unnest({hash_sql('item', _KK, _KM)}) AS cell FROM x) GROUP BY ALL)",
+    "bloom": f"c AS (SELECT DISTINCT base_key, CAST(unnest({hash_sql('item', _BK, _BM)}) AS BIGINT) AS cell, 1 AS n FROM x)",
+}
+_VALUE = "SELECT base_key, string_agg(cell || ':' || n, ',' ORDER BY cell) AS value FROM c GROUP BY base_key"
+
+
+def _keyed(kind: str) -> None:
+    """Register the put and the update of a kind of sketch: the value is the same."""
+    sql = f"WITH {_KEYED}, {_KEYED_CELLS[kind]} {_VALUE}"
+    for name, made in ((f"{kind}_put", _put), (f"{kind}_update", _updated)):
+        QUERIES[name], SQL[name] = (lambda spark, sf_dir, made=made: made(spark, sf_dir, kind)), sql
+
+
+for _kind in ("hll", "cms", "bloom"):
+    _keyed(_kind)
+
+
+@query(f"""WITH {_KEYED}, {_KEYED_CELLS['hll']}, s AS (SELECT base_key, sum(pow(2.0, -n)) AS s, count(*) AS seen, count(*) FILTER (n > 0) AS filled FROM c GROUP BY 1),
+e AS (SELECT *, 0.7213 / (1 + 1.079 / 256.0::DOUBLE) * 256 * 256 / (s + 256 - seen) AS raw, 256.0::DOUBLE - filled AS v FROM s)
+SELECT base_key, CASE WHEN raw <= 2.5 * 256 AND v > 0 THEN 256 * ln(256.0::DOUBLE / v) ELSE raw END AS estimate FROM e""", over_log=False)
+def hll_key_estimate(spark, sf_dir):
+    return keyed_sketches.estimates(_updated(spark, sf_dir, "hll"), SKETCH)
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer's number asked of the sketch of errors and of purchases, and of one that is not there."""
+    return oplog.table(spark, sf_dir, "customer").select(F.explode(F.lit(["error", "purchase", "nothing"])).alias("base_key"), F.col("c_custkey").cast("string").alias("item"))
+
+
+_PROBES = "p AS (SELECT DISTINCT unnest(['error', 'purchase']) AS base_key, CAST(c_custkey AS VARCHAR) AS item FROM customer)"
+
+
+@query(f"""WITH {_KEYED}, {_KEYED_CELLS['cms']}, {_PROBES}, h AS (SELECT base_key, item, unnest(range({_KK})) * {_KM} + unnest({hash_sql('item', _KK, _KM)}) AS cell FROM p WHERE base_key IN (SELECT base_key FROM x))
+SELECT base_key, item, CAST(min(coalesce(n, 0)) AS BIGINT) AS estimate FROM h LEFT JOIN c USING (base_key, cell) GROUP BY ALL""", over_log=False)
+def cms_key_query(spark, sf_dir):
+    return keyed_sketches.counts(_updated(spark, sf_dir, "cms"), _probes(spark, sf_dir), SKETCH)
+
+
+@query(f"""WITH {_KEYED}, {_KEYED_CELLS['bloom']}, {_PROBES}, h AS (SELECT base_key, item, CAST(unnest({hash_sql('item', _BK, _BM)}) AS BIGINT) AS cell FROM p WHERE base_key IN (SELECT base_key FROM x))
+SELECT base_key, item, count(*) = count(n) AS may_contain FROM h LEFT JOIN c USING (base_key, cell) GROUP BY ALL""", over_log=False)
+def bloom_key_query(spark, sf_dir):
+    return keyed_sketches.members(_updated(spark, sf_dir, "bloom"), _probes(spark, sf_dir), SKETCH)
+
+
+def _prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's texts, named by number, under one key, put and then put again with the pages' count of them."""
+    texts = oplog.table(spark, sf_dir, "benchmark").select(F.lit("texts").alias("base_key"), F.col("item_id").cast("string").alias("name"), "text")
+    first = keyed_sketches.written_prints(keyed_sketches.fingerprints(texts.withColumn("text", F.lower("text"))))
+    return keyed_sketches.updated_prints(first, texts)
+
+
+_PRINTS = _SIMHASH.replace("doc_id", "item_id").replace("documents", "benchmark")
+
+
+@query(f"WITH {_PRINTS} SELECT 'texts' AS base_key, item_id || '' AS name, bits FROM bits", over_log=False)
+def simhash_put(spark, sf_dir):
+    prints = keyed_sketches.read_prints(_prints(spark, sf_dir))
+    words = [F.lpad(F.conv(F.substring("hex", k, 8), 16, 2), 32, "0") for k in range(1, 65, 8)]
+    return prints.select("base_key", "name", F.concat(*words).alias("bits"))
+
+
+@query(f"WITH {_PRINTS} SELECT 'texts' AS base_key, a.item_id || '' AS a, (a.item_id + 1) || '' AS b, CASE WHEN b.bits IS NULL THEN -1 ELSE hamming(a.bits, b.bits) END AS distance FROM bits a LEFT JOIN bits b ON b.item_id = a.item_id + 1", over_log=False)
+def simhash_key_distance(spark, sf_dir):
+    pairs = oplog.table(spark, sf_dir, "benchmark").select(F.lit("texts").alias("base_key"), F.col("item_id").cast("string").alias("a"), (F.col("item_id") + 1).cast("string").alias("b"))
+    return keyed_sketches.distances(_prints(spark, sf_dir), pairs)
+
+
+# ------------------------------------------------------------- the store
+
+
+def _filled(spark: SparkSession, sf_dir: str, config: Config) -> Iterator[Store]:
+    """A store that took the log in two batches, up to AS_OF and after, each
+    its puts and then its deletions, without a flush."""
+    store = Store(spark, scratch.folder(spark), config, auto_flush=False)
+    log = oplog.from_events(spark, sf_dir)
+    for part in (log.filter(F.col("ts") <= AS_OF), log.filter(F.col("ts") > AS_OF)):
+        store.put_all(part.filter("NOT tombstone").orderBy("seq").select(F.col("base_key").alias("key"), "value", "ts", "value_type"))
+        store.delete_all(part.filter("tombstone").orderBy("seq").select(F.col("base_key").alias("key"), "ts"))
+        yield store
+
+
+_STORED = "WITH n AS (SELECT count(*) AS n FROM events)"
+
+
+@query(f"{_STORED}, s AS (SELECT unnest(range((n + {SEGMENT - 1}) // {SEGMENT})) AS s, n FROM n) SELECT format('wal_{{:05d}}.log', s + 1) AS segment, least({SEGMENT}, n - s * {SEGMENT}) AS n FROM s", over_log=False)
+def store_segments(spark, sf_dir):
+    """However the batches came, a segment holds as many records as it should."""
+    *_, store = _filled(spark, sf_dir, Config(segment_rows=SEGMENT))
+    return wal.segment_counts(store.log())
+
+
+@query(f"{_STORED}, s AS (SELECT unnest(range(2)) AS s, n, (n + {SEGMENT - 1}) // {SEGMENT} AS last FROM n) SELECT CAST(s + 1 AS BIGINT) AS segment, least({SEGMENT}, n - (last - 2 + s) * {SEGMENT}) AS n FROM s", over_log=False)
+def store_truncate(spark, sf_dir):
+    *_, store = _filled(spark, sf_dir, Config(segment_rows=SEGMENT))
+    store.truncate(3)
+    return store.log().groupBy("segment").agg(F.count("*").alias("n"))
+
+
+# a batch's deletions come after its puts, so among equal times they win
+_BY_BATCH = f"batched AS (SELECT *, row_number() OVER (PARTITION BY base_key ORDER BY ts DESC, ts > {AS_OF} DESC, tombstone DESC, seq DESC) AS n FROM log), held AS (SELECT * FROM batched WHERE n = 1 AND NOT tombstone)"
+
+
+def _flushed(spark: SparkSession, sf_dir: str, kind: int) -> Store:
+    """A run for each batch."""
+    for store in _filled(spark, sf_dir, Config(compaction=kind, minimum_runs=2, levels=3, bloom_p=0.01)):
+        store.flush()
+    return store
+
+
+@query(f", {_BY_BATCH} SELECT base_key, value_type, value, ts FROM held")
+def store_live_view(spark, sf_dir):
+    """Put, deleted, flushed, compacted and listed."""
+    store = _flushed(spark, sf_dir, 1)
+    store.compact()
+    return store.list("").select("base_key", "value_type", "value", "ts")
+
+
+@query(f", {_BY_BATCH}, k AS (SELECT unnest(['{KEY}', 'v']) AS base_key) SELECT base_key, value, (SELECT count(DISTINCT ts > {AS_OF}) FROM log WHERE log.base_key = k.base_key) AS opened FROM k LEFT JOIN held USING (base_key)")
+def store_get(spark, sf_dir):
+    """Two keys got, and how many runs were opened for each: those that its key range and Bloom filter could not rule out."""
+    store = _flushed(spark, sf_dir, 1)
+    found = [(key, store.get(key), len(store.opened)) for key in (KEY, "v")]
+    return spark.createDataFrame(found, "base_key string, value string, opened long")
+
+
+_TWO = f"""two AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY ts > {AS_OF}, base_key ORDER BY ts DESC, tombstone DESC, seq DESC) AS n FROM log) WHERE n = 1),
+numbered AS (SELECT CAST(ts > {AS_OF} AS BIGINT) AS gen, base_key, value, row_number() OVER (PARTITION BY ts > {AS_OF} ORDER BY base_key) - 1 AS i FROM two)"""
+
+
+@query(f", {_TWO} SELECT gen, i, base_key FROM numbered WHERE i % {STEP} = 0")
+def store_summary(spark, sf_dir):
+    return _flushed(spark, sf_dir, 1).sidecar("summary").select("gen", "i", "base_key")
+
+
+@query(f""", {_TWO}, leaves AS (SELECT gen, list(unhex(sha1(value)) ORDER BY base_key) AS a FROM numbered GROUP BY gen),
+tree AS (
+  SELECT gen, a FROM leaves
+  UNION ALL
+  SELECT gen, list_transform(range(1, (len(a) + 1) // 2 + 1), lambda i: unhex(sha1(a[2 * i - 1] || coalesce(a[2 * i], unhex(repeat('00', 20)))))) FROM tree WHERE len(a) > 1
+) SELECT gen, lower(hex(a[1])) AS root FROM tree WHERE len(a) = 1""")
+def store_merkle(spark, sf_dir):
+    return _flushed(spark, sf_dir, 1).sidecar("merkle").filter("depth = 0").select("gen", F.col("hash").alias("root"))
+
+
+@query(f""", {_TWO}, c AS (SELECT gen, count(*) AS n FROM numbered GROUP BY gen),
+size AS (SELECT gen, m, CAST(ceil(m / n * ln(2.0::DOUBLE)) AS BIGINT) AS k FROM (SELECT gen, n, CAST(ceil(n * abs(ln(0.01::DOUBLE)) / pow(ln(2.0::DOUBLE), 2)) AS BIGINT) AS m FROM c))
+SELECT gen, count(DISTINCT bit) AS ones FROM (SELECT gen, {grown_sql('base_key', 'i', 'm')} AS bit FROM (SELECT gen, base_key, m, unnest(range(1, k + 1)) AS i FROM numbered JOIN size USING (gen))) GROUP BY gen""")
+def store_bloom(spark, sf_dir):
+    """How many bits each run's stored filter has."""
+    pages = _flushed(spark, sf_dir, 1).sidecar("bloom")
+    return pages.groupBy("gen").agg(F.sum(F.bitmap_count("bits")).alias("ones"))
+
+
 # ------------------------------------------------- integrity, flow control
 
 

@@ -20,9 +20,14 @@ def seeded(x: Column, i: int, modulus: int) -> Column:
 
 
 def little_endian(x: Column, size: int) -> Column:
-    """A nonnegative number as ``size`` bytes, lowest first."""
-    text = F.lpad(F.hex(x.cast("long")), 2 * size, "0")
-    return F.unhex(F.concat(*(F.substring(text, 2 * k + 1, 2) for k in reversed(range(size)))))
+    """A nonnegative number as ``size`` bytes, lowest first: its bytes change
+    places as a number, which is then written out once."""
+    x = x.cast("long")
+    turned = F.lit(0).cast("long")
+    for k in range(size):
+        byte = F.shiftrightunsigned(x, 8 * k).bitwiseAND(F.lit(255).cast("long"))
+        turned = turned.bitwiseOR(F.shiftleft(byte, 8 * (size - 1 - k)))
+    return F.unhex(F.lpad(F.hex(turned), 2 * size, "0"))
 
 
 def trailing_zeros(x: Column, most: int = 8) -> Column:

@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import kept
+from .ranking import positioned
+
 
 def lru_hits(accesses: DataFrame, size: int, block_rows: int = 4096) -> DataFrame:
     """seq, base_key and hit of every access, by ascending seq.
@@ -24,13 +27,12 @@ def lru_hits(accesses: DataFrame, size: int, block_rows: int = 4096) -> DataFram
         last = rows.groupBy("block", "base_key").agg(F.max("seq").alias("seq"))
         return last.withColumn("r", F.row_number().over(newest)).filter(F.col("r") <= size).drop("r")
 
-    blocks = log.groupBy("block").agg(F.min("seq").alias("first"))
-    numbered = blocks.withColumn("number", F.row_number().over(Window.orderBy("block")) - 1).select("block", "number")  # a row per block
-    held = top(log).join(numbered, "block").select(F.col("number").alias("block"), "base_key", "seq").persist()
+    numbered = kept(positioned(log.select("block").distinct(), "block", name="number"))  # a row per block
+    held = kept(top(log).join(numbered, "block").select(F.col("number").alias("block"), "base_key", "seq"))
     count = numbered.count()
     reach = 1
     while reach < count and held.groupBy("block").agg(F.count("*").alias("n")).filter((F.col("n") < size) & (F.col("block") >= reach)).limit(1).count():
-        held = top(held.union(held.withColumn("block", F.col("block") + reach).filter(F.col("block") < count))).persist()
+        held = kept(top(held.union(held.withColumn("block", F.col("block") + reach).filter(F.col("block") < count))))
         reach *= 2
     # the state before a block is what the block before it leaves
     before = held.withColumn("block", F.col("block") + 1).filter(F.col("block") < count).withColumn("warm", F.lit(True))
@@ -54,3 +56,25 @@ def lru_hits(accesses: DataFrame, size: int, block_rows: int = 4096) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.bool_())], names=["seq", "base_key", "hit"])
 
     return dealt.mapInArrow(replay, "seq long, base_key string, hit boolean")
+
+
+class Recent:
+    """The last ``size`` keys used, with their values, the latest kept longest."""
+
+    def __init__(self, size: int):
+        self.size, self.held = size, OrderedDict()
+
+    def __contains__(self, key: str) -> bool:
+        return key in self.held
+
+    def get(self, key: str):
+        return self.held.get(key)  # looking does not count as use
+
+    def add(self, key: str, value) -> None:
+        self.held[key] = value
+        self.held.move_to_end(key)
+        if len(self.held) > self.size:
+            self.held.popitem(last=False)
+
+    def drop(self, key: str) -> None:
+        self.held.pop(key, None)

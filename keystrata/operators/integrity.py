@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import little_endian
+from ..sources.scratch import kept
 from .ranking import positioned
 
 FOLD = 10  # levels folded at once
@@ -47,11 +48,20 @@ def merkle_root(rows: DataFrame, order: str, value: str, *within: str) -> DataFr
 
 def merkle_levels(rows: DataFrame, order: str, value: str, *within: str) -> DataFrame:
     """All nodes of each group's tree from the root down, paddings included:
-    depth, i, hash. For runs that fit in a row."""
-    leaves = rows.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.unhex(F.sha1(F.col(value).cast("binary"))).alias("h")))).alias("all"))
-    levels = leaves.withColumn("a", F.expr("transform(all, x -> x.h)"))
-    step = "transform(sequence(0, (size(element_at(s, -1)) + 1) div 2 - 1), i -> unhex(sha1(concat(element_at(s, -1)[2 * i], coalesce(get(element_at(s, -1), 2 * i + 1), unhex(repeat('00', 20)))))))"
-    tree = F.expr(f"CASE WHEN size(a) = 1 THEN array(a) ELSE aggregate(sequence(1, cast(ceil(log2(size(a))) as int)), array(a), (s, l) -> array_append(s, {step})) END")
-    out = levels.select(*within, F.posexplode(F.reverse(tree)).alias("depth", "nodes"))
-    nodes = F.expr("CASE WHEN size(nodes) > 1 AND size(nodes) % 2 = 1 THEN array_append(nodes, unhex(repeat('00', 20))) ELSE nodes END")
-    return out.select(*within, "depth", F.posexplode(nodes).alias("i", "h")).select(*within, "depth", "i", F.lower(F.hex("h")).alias("hash"))
+    depth, i, hash. Each level is made from the one below by joining
+    neighbours two by two, a shuffle a level, so no row or task holds a run."""
+    sizes = rows.groupBy(*within).agg(F.count("*").alias("n"))
+    leaves = rows.select(*within, order, F.unhex(F.sha1(F.col(value).cast("binary"))).alias("h"))
+    nodes = kept(positioned(leaves, order, *within).join(sizes, list(within)).select(*within, "i", "n", F.lit(0).alias("up"), "h"))
+    found, top = nodes, nodes.agg(F.max("n")).first()[0] or 0
+    empty = F.unhex(F.lit("00" * 20))
+    while top > 1:
+        half = F.floor(F.col("i") / 2)
+        pair = nodes.filter("n > 1").groupBy(*within, half.alias("i"), "n", "up").agg(F.max(F.when(F.col("i") % 2 == 0, F.col("h"))).alias("a"), F.max(F.when(F.col("i") % 2 == 1, F.col("h"))).alias("b"))
+        nodes = kept(pair.select(*within, "i", F.ceil(F.col("n") / 2).alias("n"), (F.col("up") + 1).alias("up"), F.unhex(F.sha1(F.concat("a", F.coalesce("b", empty)))).alias("h")))
+        found = found.unionByName(nodes)
+        top = -(-top // 2)
+    height = sizes.select(*within, F.ceil(F.log2("n")).cast("int").alias("height"))
+    padding = found.filter("n > 1 AND n % 2 = 1 AND i = n - 1").withColumn("i", F.col("i") + 1).withColumn("h", empty)
+    every = found.unionByName(padding).join(height, list(within))
+    return every.select(*within, (F.col("height") - F.col("up")).cast("int").alias("depth"), F.col("i").cast("int").alias("i"), F.lower(F.hex("h")).alias("hash"))

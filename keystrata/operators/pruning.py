@@ -15,9 +15,27 @@ def run_meta(runs: DataFrame) -> DataFrame:
 
 
 def overlaps(meta: DataFrame) -> DataFrame:
-    """Pairs of runs of a level whose key ranges meet; of metadata, a row per run."""
-    a, b = meta.select("level", F.col("gen").alias("a"), F.col("lo").alias("alo"), F.col("hi").alias("ahi")), meta.select("level", F.col("gen").alias("b"), "lo", "hi")
-    return a.join(b, "level").filter("a < b AND NOT (alo > hi OR ahi < lo)").select("level", "a", "b")
+    """level, gen, met and neighbour of each run: how many runs of its level
+    meet its key range, and the one of them that begins next (null: none).
+
+    Runs that meet are all but those that end before or begin after, which
+    are counted by the positions of the ends in order; no pair is made.
+    """
+    ends = meta.select("level", F.col("lo").alias("at"), F.lit(0).alias("kind"), "gen", "hi").union(meta.select("level", F.col("hi").alias("at"), F.lit(1).alias("kind"), "gen", "hi"))
+    place = positioned(ends.withColumn("o", F.struct("at", "kind", "gen")), "o", "level")
+    opens, closes = place.filter("kind = 0"), place.filter("kind = 1")
+    # before a run's begin stand the begins of rank(begin) runs; what of them has closed already does not meet it
+    begin = positioned(opens.select("level", "gen", "o", F.col("i").alias("at_open")), "o", "level", name="opened").select("level", "gen", "at_open", "opened")
+    close = positioned(closes.select("level", "gen", "o", F.col("i").alias("at_close")), "o", "level", name="closed").select("level", "gen", "at_close", "closed")
+    total = meta.groupBy("level").agg(F.count("*").alias("n"))
+    both = begin.join(close, ["level", "gen"]).join(total, "level")
+    ended_before = F.col("at_open") - F.col("opened")  # ends in front of this begin
+    begun_by_end = F.col("at_close") - F.col("closed")  # begins in front of this end
+    begins_after = F.col("n") - begun_by_end
+    nexts = begin.select("level", (F.col("opened") - 1).alias("opened"), F.col("gen").alias("neighbour"), F.col("at_open").alias("next_open"))
+    found = both.join(nexts, ["level", "opened"], "left")
+    meets = F.col("next_open") < F.col("at_close")
+    return found.select("level", "gen", (F.col("n") - ended_before - begins_after - 1).alias("met"), F.when(meets, F.col("neighbour")).alias("neighbour"))
 
 
 def dense_index(runs: DataFrame) -> DataFrame:
@@ -30,6 +48,27 @@ def sparse_summary(runs: DataFrame, step: int) -> DataFrame:
     return dense_index(runs).filter(F.col("i") % step == 0)
 
 
+def floor_key(summary: DataFrame, key: str) -> DataFrame:
+    """level, gen, i and sampled: in each run the greatest sampled key at or
+    below ``key``, from which its search starts; runs that begin after it are
+    left out."""
+    below = summary.filter(F.col("base_key") <= key).groupBy("level", "gen").agg(F.max(F.struct("base_key", "i")).alias("s"))
+    return below.select("level", "gen", F.col("s.i").alias("i"), F.col("s.base_key").alias("sampled"))
+
+
+def lookup(index: DataFrame, summary: DataFrame, key: str, step: int) -> DataFrame:
+    """level, gen and i of ``key`` in the runs that hold it: of each run only
+    the ``step`` entries from its sampled key on are compared."""
+    starts = floor_key(summary, key).select("level", "gen", F.col("i").alias("start"))
+    near = index.join(starts, ["level", "gen"]).filter((F.col("i") >= F.col("start")) & (F.col("i") < F.col("start") + step))
+    return near.filter(F.col("base_key") == key).select("level", "gen", "i")
+
+
+def at_positions(index: DataFrame, wanted: DataFrame) -> DataFrame:
+    """level, gen, i and base_key of the entries at wanted positions (level, gen, i)."""
+    return index.join(wanted.select("level", "gen", "i").distinct(), ["level", "gen", "i"]).select("level", "gen", "i", "base_key")
+
+
 def run_bloom(runs: DataFrame, m: int, k: int) -> DataFrame:
     """The set bits of each run's Bloom filter."""
     return sketches.bloom_bits(runs, "base_key", m, k, "level", "gen")

@@ -20,7 +20,8 @@ def positioned(rows: DataFrame, order: str, *within: str, name: str = "i", task_
         place = F.row_number().over(Window.partitionBy(*within).orderBy(order)) - 1
         return rows.withColumn(name, place.cast("long"))
     keys = rows.select(order).distinct().withColumn("__h", F.xxhash64(order)).orderBy("__h", order).limit(SPLITTERS)
-    cuts = F.array(*(F.lit(r[0]) for r in sorted(keys.select(order).collect(), key=lambda r: str(r[0]).encode())))
+    kind = rows.schema[order].dataType
+    cuts = F.array(*((F.struct(*map(F.lit, r[0])) if isinstance(r[0], tuple) else F.lit(r[0])).cast(kind) for r in sorted(keys.select(order).collect(), key=lambda r: str(r[0]).encode())))
     cut = rows.withColumn("__part", F.size(F.filter(cuts, lambda c: c <= F.col(order))))
     sizes = cut.groupBy(*within, "__part").agg(F.count("*").alias("__n"))  # SPLITTERS + 1 rows a group at most
     before = Window.partitionBy(*within).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.hashing import seeded, trailing_zeros
+from ..functions.hashing import seed_hex, seeded, trailing_zeros
 
 
 def bloom_size(n: int, p: float) -> tuple[int, int]:
@@ -52,6 +52,11 @@ def positions(items: DataFrame, item: str, m: int, k: int, *keep: str) -> DataFr
     return _hashed(items.select(*keep, item).distinct(), item, m, k, *keep).select(*keep, item, F.col("j").alias("bit"))
 
 
+def positions_of(item: str, m: int, k: int) -> list[int]:
+    """The same positions of one item, worked out here."""
+    return [int(hashlib.md5(item.encode() + bytes.fromhex(seed_hex(i))).hexdigest()[:16], 16) % m for i in range(1, k + 1)]
+
+
 def bloom_bits(items: DataFrame, item: str, m: int, k: int, *within: str) -> DataFrame:
     """The set bits, at most m for each group of ``within``."""
     return positions(items, item, m, k, *within).select(*within, "bit").distinct()
@@ -82,28 +87,33 @@ def cms_query(probes: DataFrame, item: str, cells: DataFrame, m: int, k: int) ->
 # ---- HyperLogLog
 
 
-def hll_registers(items: DataFrame, item: str, p: int) -> DataFrame:
-    """Registers of the text hash: the 256 bits of a hex MD5's characters,
-    bucket by the first p of them, rank by the zeros at the end."""
-    x = F.md5(F.col(item).cast("string").cast("binary"))
+def hll_place(item: Column, p: int) -> tuple[Column, Column]:
+    """Bucket and rank of an item's text hash: the 256 bits of a hex MD5's
+    characters, bucket by the first p of them, rank by the zeros at the end."""
+    x = F.md5(item.cast("string").cast("binary"))
     bits = F.lit(0)
     for i in range((p + 7) // 8):
         bits = bits * 256 + F.ascii(F.substring(x, i + 1, 1))
-    bucket = F.shiftright(bits, -p % 8).cast("int")
-    rank = trailing_zeros(F.ascii(F.substring(x, 32, 1)))
+    return F.shiftright(bits, -p % 8).cast("int"), trailing_zeros(F.ascii(F.substring(x, 32, 1)))
+
+
+def hll_registers(items: DataFrame, item: str, p: int) -> DataFrame:
+    """bucket and rank, the greatest of its items."""
+    bucket, rank = hll_place(F.col(item), p)
     return items.select(bucket.alias("bucket"), rank.alias("rank")).groupBy("bucket").agg(F.max("rank").cast("int").alias("rank"))
 
 
-def hll_estimate(registers: DataFrame, p: int) -> DataFrame:
-    """One row: the estimate, with the corrections for small and large counts."""
+def hll_estimate(registers: DataFrame, p: int, *within: str) -> DataFrame:
+    """The estimate, a row for each group of ``within``, with the corrections
+    for small and large counts."""
     m = float(2**p)
     alpha = 0.7213 / (1 + 1.079 / m)
-    sums = registers.agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("s"), F.count_if(F.col("rank") > 0).alias("filled"), F.count("*").alias("seen"))
+    sums = registers.groupBy(*within).agg(F.coalesce(F.sum(F.pow(F.lit(2.0), -F.col("rank"))), F.lit(0.0)).alias("s"), F.count_if(F.col("rank") > 0).alias("filled"), F.count("*").alias("seen"))
     empty = F.lit(m) - F.col("filled")
     raw = F.lit(alpha * m * m) / (F.col("s") + (F.lit(m) - F.col("seen")))
     two32 = float(2**32)
     estimate = F.when((raw <= 2.5 * m) & (empty > 0), m * F.ln(F.lit(m) / empty)).when(raw > two32 / 30, -two32 * F.ln(1 - raw / two32)).otherwise(raw)
-    return sums.select(estimate.alias("estimate"))
+    return sums.select(*within, estimate.alias("estimate"))
 
 
 def hll_native(items: DataFrame, item: str, p: int = 12) -> DataFrame:

@@ -22,6 +22,23 @@ def encoded(k: Column, value: Column, tombstone: Column, ts: Column) -> Column:
     return F.concat(little_endian(record_crc(k, value, tombstone, ts), 4), record_body(k, value, tombstone, ts))
 
 
+def number(data: Column, at: int, size: int) -> Column:
+    """The little-endian number in ``size`` bytes from byte ``at`` on, from 0;
+    eight bytes hold numbers below 2^63."""
+    turned = F.concat(*(F.substring(F.hex(data), 2 * (at + k) + 1, 2) for k in reversed(range(size))))
+    return F.conv(turned, 16, 10).cast("long")
+
+
+def fields(data: Column) -> Column:
+    """k, value, tombstone, ts and valid of a column that holds one record each."""
+    rest = F.substring(data, HEAD.size + 1, 2**30)
+    key_size = number(data, 13, 8).cast("int")
+    return F.struct(
+        F.decode(F.substring(rest, F.lit(1), key_size), "utf-8").alias("k"), F.substring(rest, key_size + 1, number(data, 21, 8).cast("int")).alias("value"),
+        (number(data, 12, 1) == 1).alias("tombstone"), number(data, 4, 8).alias("ts"), (F.crc32(F.substring(data, 5, 2**30)) == number(data, 0, 4)).alias("valid"),
+    )
+
+
 def decode(data: bytes) -> list[tuple[str, bytes, bool, int, bool]]:
     """Key, value, deletion mark, time and whether the checksum holds, of each
     record; what breaks off at the end is left out."""

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from keystrata import catalog
 from keystrata.config import Config
+from keystrata.functions.hashing import little_endian
 from keystrata.functions.keys import base_key, valid_key, value_type
-from keystrata.operators import cache, compaction, integrity, pruning, ratelimit, reads, sketches, versions
-from keystrata.plans.store import Store
+from keystrata.operators import cache, compaction, integrity, keyed_sketches, pruning, ratelimit, reads, sketches, versions
+from keystrata.plans.store import LimitExceeded, Store
 from keystrata.sources import records, runs as run_files, wal
 
 LOG = "base_key string, value_type string, value string, tombstone boolean, ts long, seq long"
@@ -107,7 +108,18 @@ def test_pruning(spark):
         own.setdefault(r.gen, []).append(r.base_key)
     meta = {r.gen: (r.n, r.lo, r.hi) for r in pruning.run_meta(runs).collect()}
     assert meta == {g: (len(k), min(k), max(k)) for g, k in own.items()}
-    assert {(r.a, r.b) for r in pruning.overlaps(pruning.run_meta(runs)).collect()} == {(a, b) for a in own for b in own if a < b and not (meta[a][1] > meta[b][2] or meta[a][2] < meta[b][1])}
+    meets = lambda a, b: a != b and not (meta[a][1] > meta[b][2] or meta[a][2] < meta[b][1])
+    begins = sorted(own, key=lambda g: (meta[g][1], g))
+    nexts = {a: b if meets(a, b) else None for a, b in zip(begins, [*begins[1:], begins[-1]])}
+    assert {(r.gen, r.met, r.neighbour) for r in pruning.overlaps(pruning.run_meta(runs)).collect()} == {(a, sum(meets(a, b) for b in own), nexts[a]) for a in own}
+    apart = spark.createDataFrame([(0, g, lo, hi) for g, lo, hi in ((5, "a", "c"), (2, "c", "c"), (9, "d", "z"), (4, "e", "f"), (1, "g", "h"), (7, "zz", "zz"))], "level long, gen long, lo string, hi string")
+    assert {(r.gen, r.met, r.neighbour) for r in pruning.overlaps(apart).collect()} == {(5, 1, 2), (2, 1, None), (9, 2, 4), (4, 1, None), (1, 1, None), (7, 0, None)}
+    index = pruning.dense_index(runs)
+    summary = index.filter("i % 7 = 0")
+    for key in ("u7", "u3", "a", "zz"):
+        samples = {g: [(k, i) for i, k in enumerate(sorted(ks)) if i % 7 == 0 and k <= key] for g, ks in own.items()}
+        assert {(r.gen, r.i, r.sampled) for r in pruning.floor_key(summary, key).collect()} == {(g, x[-1][1], x[-1][0]) for g, x in samples.items() if x}
+        assert {(r.gen, r.i) for r in pruning.lookup(index, summary, key, 7).collect()} == {(g, sorted(ks).index(key)) for g, ks in own.items() if key in ks}
     assert {(r.gen, r.i, r.base_key) for r in pruning.sparse_summary(runs, 7).collect()} == {(g, i, k) for g, ks in own.items() for i, k in enumerate(sorted(ks)) if i % 7 == 0}
     m, k = sketches.bloom_size(60, 0.01)
     found = {r.gen for r in pruning.candidate_runs(runs, pruning.run_meta(runs), pruning.run_bloom(runs, m, k), "u7", m, k).collect()}
@@ -250,8 +262,8 @@ def test_log_records(spark, tmp_path):
 
 @pytest.mark.parametrize("kind", [1, 2])
 def test_store(spark, tmp_path, kind):
-    s = Store(spark, str(tmp_path / "store"), Config(compaction=kind, minimum_runs=2, levels=3))
-    assert s.get("a") is None and not s.flush()
+    s = Store(spark, str(tmp_path / "store"), Config(compaction=kind, minimum_runs=2, levels=3), auto_flush=False)
+    assert s.get("a") is None and not s.flush() and not s.compact() and s.log() is None
     assert s.put("a", "1", 1) and not s.put("a-b", "1", 1) and not s.put(" ", "1", 1) and not s.put("a", "", 1)
     assert s.put_all(spark.createDataFrame([(f"u{i:02d}", str(i), 2) for i in range(12)], "key string, value string, ts long")) == 12
     assert s.flush() and s.get("a") == "1"
@@ -268,8 +280,159 @@ def test_store(spark, tmp_path, kind):
     s.compact()
     assert s.get("a") == "2" and reads.shown(s.list("z"), 1, 5).first().shown == "Hyper Log Log"
     side = run_files.sidecars(s.runs(), Config())
-    assert side["meta"].count() == s.runs().select("level", "gen").distinct().count() and side["bloom"].count() and side["summary"].count()
-    assert run_files.contents(s.runs()).count() >= 1
+    runs = {(r.level, r.gen) for r in s.runs().select("level", "gen").distinct().collect()}
+    assert side["meta"].count() == len(runs) and side["bloom"].count() and side["summary"].count()
+    assert {(r.level, r.gen) for r in s.contents().collect()} == runs and all(os.path.isdir(r.folder) for r in s.contents().collect())
+    for name in run_files.SIDECARS:
+        assert {(r.level, r.gen) for r in s.sidecar(name).select("level", "gen").distinct().collect()} == runs
+    assert sorted(os.listdir(tmp_path / "store" / "runs")) == sorted(f"run={r['run']}" for r in s._state()["runs"])
+
+
+def batch(spark, n, parts, first=0):
+    return spark.range(n, numPartitions=parts).select(F.concat(F.lit("k"), (F.col("id") + first).cast("string")).alias("key"), F.lit("v").alias("value"), F.lit(1).alias("ts"))
+
+
+def test_store_segments_and_truncation(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Config(segment_rows=5), auto_flush=False)
+    for n, parts, first in ((12, 4, 0), (7, 3, 100), (1, 1, 200), (0, 1, 300), (9, 8, 400)):
+        assert s.put_all(batch(spark, n, parts, first)) == n
+    log = [(r.seq, r.k, r.segment) for r in s.log().orderBy("seq").collect()]
+    assert [x[0] for x in log] == list(range(29)) and [x[2] for x in log] == [i // 5 + 1 for i in range(29)]
+    assert [x[1] for x in log] == [f"k{i}" for a, n in ((0, 12), (100, 7), (200, 1), (400, 9)) for i in range(a, a + n)]
+    assert s.truncate(0) == 0 and s.truncate(9) == 0 and s.truncate(3) == 20
+    left = [(r.seq, r.segment) for r in s.log().orderBy("seq").collect()]
+    assert left == [(i, (i - 20) // 5 + 1) for i in range(20, 29)]
+    assert len(os.listdir(tmp_path / "s" / "log")) == 1  # whole folders went
+    assert s.put_all(batch(spark, 3, 2, 500)) == 3 and s.log().agg(F.max("segment")).first()[0] == 3
+    assert s.truncate(2) == 10 and [r.seq for r in s.log().orderBy("seq").collect()] == [30, 31] and s.flush() and s.log() is None
+    far = spark.createDataFrame([(99_999,), (100_000,), (171_798,), (1_717_986_919,), (1_717_986_920,)], "segment long")
+    assert sorted(r.segment for r in wal.segment_counts(far).collect()) == ["wal_100000.log", "wal_171798.log", "wal_1717986919.log", "wal_1717986920.log", "wal_99999.log"]
+
+
+def test_store_flushes_by_distinct_keys(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Config(memtable_rows=5, flush_percent=80))
+    assert s.put("a", "1", 1) and s.put("a", "2", 2) and s.put("b", "1", 3) and s.put("c", "1", 4) and s.delete("d", 5)
+    assert s.log().count() == 5 and s.runs() is None  # four keys, but a deletion flushes nothing
+    assert s.put("a", "3", 6)
+    assert s.log() is None and s.runs().count() == 4 and s.get("a") == "3"
+    before = {p: os.stat(p).st_mtime_ns for p in map(str, (tmp_path / "s" / "runs").rglob("*.parquet"))}
+    assert s.put_all(batch(spark, 6, 2)) == 6 and s.log() is None
+    assert {p: os.stat(p).st_mtime_ns for p in before} == before  # a flush writes its own run alone
+    assert {(r["level"], r["gen"]) for r in s._state()["runs"]} == {(0, 0), (0, 1)}
+
+
+def test_store_survives_crashes_and_other_writers(spark, tmp_path, monkeypatch):
+    s, other = (Store(spark, str(tmp_path / "s"), Config(), auto_flush=False) for _ in range(2))
+    assert s.put_all(batch(spark, 6, 2)) == 6
+    plain = type(s.states)._publish
+    monkeypatch.setattr(type(s.states), "_publish", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    for broken in (s.flush, lambda: s.put("x", "1", 9), lambda: s.truncate(1)):
+        with pytest.raises(OSError):
+            broken()
+    monkeypatch.setattr(type(s.states), "_publish", plain)
+    assert s.log().count() == 6 and s.get("x") is None and s.get("k3") == "v"
+    # another writer takes the next number first
+    raced = []
+
+    def slow(states, number, state):
+        if not raced:
+            raced.append(1)
+            assert other.put_all(batch(spark, 4, 2, 50)) == 4
+        return plain(states, number, state)
+
+    monkeypatch.setattr(type(s.states), "_publish", slow)
+    assert s.put_all(batch(spark, 3, 2, 80)) == 3
+    assert [r.seq for r in s.log().orderBy("seq").collect()] == list(range(13)) and s.get("k51") == "v" and s.get("k82") == "v"
+    # what is appended while a flush runs stays in the log
+    raced.clear()
+    assert s.flush() and s.log().count() == 4 and s.runs().count() == 13 and s.list("k").count() == 13
+
+
+def test_store_get_opens_few_runs(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Config(bloom_p=0.001, cache_size=2), auto_flush=False)
+    for r in range(4):
+        s.put_all(spark.createDataFrame([(f"k{(4 * i + r):03d}", f"{r}", 1) for i in range(50)], "key string, value string, ts long"))
+        s.flush()
+    for i in (10, 21, 162):
+        assert s.get(f"k{i:03d}") == str(i % 4) and len(s.opened) <= 2 and (0, i % 4) in s.opened
+    assert s.get("a") is None and s.opened == [] and s.get("k010x") is None and len(s.opened) <= 1
+    assert "k162" in s.recent and "k010" not in s.recent
+    assert s.get("k162") == "2" and s.opened == [] and s.put("k162", "new", 2) and s.get("k162") == "new"
+    for r in (r for r in s._state()["runs"]):
+        held = {x.base_key for x in s.runs(only=[r]).collect()}
+        assert all(r in s.candidates(k) for k in sorted(held)[:5])
+
+
+def test_store_sketches(spark, tmp_path):
+    c = Config(hll_p=8, cms_epsilon=0.05, bloom_n=50, bloom_p=0.01)
+    s = Store(spark, str(tmp_path / "s"), c, auto_flush=False)
+    one = spark.createDataFrame([(k, f"i{i % 7 if k == 'a' else i}") for k in "ab" for i in range(20)], "base_key string, item string")
+    two = spark.createDataFrame([("a", "i3"), ("a", "new"), ("c", "late")], "base_key string, item string")
+    for kind, key in (("hll", ""), ("cms", ""), ("bloom", "")):
+        assert s.put_sketches(one, kind, 1) == 2
+        assert s.update_sketches(two, kind, 2) == 2
+        whole = {r.base_key: r.value for r in keyed_sketches.written(keyed_sketches.cells(one.union(two), kind, c)).collect()}
+        assert {r.base_key: r.value for r in s.sketches(kind).collect()} == whole
+        assert {r.base_key: (r.cell, r.n) for r in keyed_sketches.read(keyed_sketches.written(keyed_sketches.cells(two.filter("base_key = 'c'").limit(1), kind, c))).limit(1).collect()}
+        probes = spark.createDataFrame([("a", "i3"), ("a", "absent"), ("c", "late"), ("zz", "i3")], "base_key string, item string")
+        if kind == "hll":
+            own = {k: sketches.hll_estimate(sketches.hll_registers(one.union(two).filter(F.col("base_key") == k), "item", 8), 8).first().estimate for k in "abc"}
+            assert {r.base_key: r.estimate for r in s.distinct_counts().collect()} == pytest.approx(own)
+        elif kind == "cms":
+            assert {(r.base_key, r.item): r.estimate for r in s.counts(probes).collect()} == {("a", "i3"): 4, ("a", "absent"): 0, ("c", "late"): 1}
+        else:
+            assert {(r.base_key, r.item): r.may_contain for r in s.members(probes).collect()} == {("a", "i3"): True, ("a", "absent"): False, ("c", "late"): True}
+    texts = spark.createDataFrame([("t", "x", "one two two"), ("t", "y", "one two three"), ("t", "z", "one two two")], "base_key string, name string, text string")
+    assert s.put_sketches(texts, "simHash", 5) == 1 and s.update_sketches(texts.filter("name = 'z'").withColumn("text", F.lit("one two three")), "simHash", 6) == 1
+    pairs = spark.createDataFrame([("t", "x", "y"), ("t", "y", "z"), ("t", "x", "gone"), ("u", "x", "y")], "base_key string, a string, b string")
+    found = {(r.base_key, r.a, r.b): r.distance for r in s.distances(pairs).collect()}
+    assert found["t", "x", "y"] > 0 and found["t", "y", "z"] == 0 and found["t", "x", "gone"] == found["u", "x", "y"] == -1
+    with pytest.raises(ValueError):
+        s._put_values(keyed_sketches.written_prints(keyed_sketches.fingerprints(texts)), "string", 1)
+    s.flush()
+    assert s.get("t").startswith("x=") and len(s.get("t").split(";")) == 3
+
+
+def test_store_limits(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Config(limit_seconds=3600, limit_number=2), auto_flush=False, limited=True)
+    assert s.get("a") is None and s.get("b") is None
+    with pytest.raises(LimitExceeded):
+        s.get("c")
+    own = ratelimit.Limiter(10, 2)
+    assert [own.allow(t) for t in (0, 1, 2, 10, 10.5, 11)] == [True, True, False, True, False, True]
+
+
+def test_limiter_cuts_keys_at_pauses(spark):
+    r = random.Random(31)
+    for seconds, number, width in ((10, 2, 16), (5, 3, 5), (7, 1, 1000)):
+        rows, now = [], 0
+        for seq in range(400):
+            now += r.choice([0, 0, 1, 2, 3, 3, 9, 10, 11, 40])
+            rows.append((r.choice(["hot", "hot", "hot", "b", None]), now, seq))
+        want, passed = {}, {}
+        for k, ts, seq in rows:
+            own = passed[k] = [t for t in passed.get(k, []) if ts - t < seconds]
+            want[seq] = len(own) < number
+            if want[seq]:
+                own.append(ts)
+        df = spark.createDataFrame(rows, "k string, ts long, seq long").repartition(4)
+        assert {x.seq: x.accepted for x in ratelimit.limited(df, "k", seconds, number, width).collect()} == want
+
+
+def test_known_checksum(spark):
+    assert spark.range(1).select(F.crc32(F.lit(b"123456789"))).first()[0] == 0xCBF43926
+    numbers = [0, 1, 255, 256, 2**31, 2**62 + 12345, 2**63 - 1]
+    got = spark.createDataFrame([(n,) for n in numbers], "n long").select(little_endian(F.col("n"), 8).alias("b"), little_endian(F.col("n") % 256, 1).alias("c")).collect()
+    assert [bytes(x.b) for x in got] == [n.to_bytes(8, "little") for n in numbers] and [bytes(x.c) for x in got] == [bytes([n % 256]) for n in numbers]
+
+
+def test_plans_have_no_single_task_over_runs(spark):
+    """Compaction plans bring single numbers to the driver and no list of runs."""
+    meta = spark.range(600).select(F.lit(0).cast("long").alias("level"), F.col("id").alias("gen"), F.format_string("k%04d", F.col("id")).alias("lo"), F.format_string("k%04d", F.col("id") + 1).alias("hi"))
+    plan = {r.gen: (r.to_level, r.to_gen) for r in compaction.leveled_plan(meta, 4, 3).collect()}
+    assert plan[0] == plan[1] == (1, 0) and plan[2] == (0, 0) and plan[599] == (0, 597)
+    tiers = {r.gen: (r.to_level, r.to_gen) for r in compaction.tiered_plan(meta, 4, 3).collect()}
+    assert tiers[0] == (2, 0) and tiers[599] == (1, 1) and tiers[592] == (1, 0)
 
 
 def test_config(tmp_path):
@@ -320,7 +483,7 @@ def test_against_sql(spark, name):
         assert got
         return
     con = duckdb.connect()
-    for t in ("customer", "orders", "events", "documents", "lineitem", "pages"):
+    for t in ("customer", "orders", "events", "documents", "lineitem", "pages", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
     assert sorted(repr(tuple(r)) for r in got) == sorted(repr(tuple(r)) for r in want)
