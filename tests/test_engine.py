@@ -368,9 +368,11 @@ def test_store_sketches(spark, tmp_path):
     s = Store(spark, str(tmp_path / "s"), c, auto_flush=False)
     one = spark.createDataFrame([(k, f"i{i % 7 if k == 'a' else i}") for k in "ab" for i in range(20)], "base_key string, item string")
     two = spark.createDataFrame([("a", "i3"), ("a", "new"), ("c", "late")], "base_key string, item string")
-    for kind, key in (("hll", ""), ("cms", ""), ("bloom", "")):
-        assert s.put_sketches(one, kind, 1) == 2
-        assert s.update_sketches(two, kind, 2) == 2
+    for now, kind in ((10, "hll"), (20, "cms"), (30, "bloom")):
+        if now > 10:  # a key's sketch gives way to one of another kind
+            assert s.delete_all(spark.createDataFrame([("c", now - 1)], "key string, ts long")) == 1
+        assert s.put_sketches(one, kind, now) == 2
+        assert s.update_sketches(two, kind, now + 1) == 2
         whole = {r.base_key: r.value for r in keyed_sketches.written(keyed_sketches.cells(one.union(two), kind, c)).collect()}
         assert {r.base_key: r.value for r in s.sketches(kind).collect()} == whole
         assert {r.base_key: (r.cell, r.n) for r in keyed_sketches.read(keyed_sketches.written(keyed_sketches.cells(two.filter("base_key = 'c'").limit(1), kind, c))).limit(1).collect()}
@@ -383,7 +385,7 @@ def test_store_sketches(spark, tmp_path):
         else:
             assert {(r.base_key, r.item): r.may_contain for r in s.members(probes).collect()} == {("a", "i3"): True, ("a", "absent"): False, ("c", "late"): True}
     texts = spark.createDataFrame([("t", "x", "one two two"), ("t", "y", "one two three"), ("t", "z", "one two two")], "base_key string, name string, text string")
-    assert s.put_sketches(texts, "simHash", 5) == 1 and s.update_sketches(texts.filter("name = 'z'").withColumn("text", F.lit("one two three")), "simHash", 6) == 1
+    assert s.put_sketches(texts, "simHash", 40) == 1 and s.update_sketches(texts.filter("name = 'z'").withColumn("text", F.lit("one two three")), "simHash", 41) == 1
     pairs = spark.createDataFrame([("t", "x", "y"), ("t", "y", "z"), ("t", "x", "gone"), ("u", "x", "y")], "base_key string, a string, b string")
     found = {(r.base_key, r.a, r.b): r.distance for r in s.distances(pairs).collect()}
     assert found["t", "x", "y"] > 0 and found["t", "y", "z"] == 0 and found["t", "x", "gone"] == found["u", "x", "y"] == -1
