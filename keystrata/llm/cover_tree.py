@@ -170,6 +170,16 @@ def _matrix(vectors: list, dim: int) -> np.ndarray:
     return out
 
 
+def _stacked(lists, width: int) -> np.ndarray:
+    """A list array as rows of ``width`` numbers, cut or padded by zeros."""
+    ends = lists.offsets.to_numpy()
+    sizes = np.diff(ends)
+    flat = lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]] if len(ends) > 1 else np.empty(0, np.int64)
+    if len(sizes) and (sizes == sizes[0]).all() and sizes[0] >= width:
+        return flat.reshape(len(sizes), sizes[0])[:, :width]
+    return _matrix(np.split(flat, np.cumsum(sizes)[:-1]) if len(sizes) else [], width)
+
+
 def _unpack(data: bytes) -> Tree:
     return Tree(*pickle.loads(data))
 
@@ -191,7 +201,7 @@ def dealt(vectors: DataFrame, is_query, data_rows: int, most_pivots: int = 2048)
 
         task, seen = TaskContext.get().partitionId(), 0
         for batch in batches:
-            x = _matrix([v[:width] for v in batch.column("vector").to_pylist()], width).astype(np.float64)
+            x = _stacked(batch.column("vector"), width).astype(np.float64)
             near = np.argmax(x @ middles.T - half, axis=1)
             own = np.arange(seen, seen + len(x)) | task << 40
             seen += len(x)
@@ -209,38 +219,53 @@ def index(rows: DataFrame, data_rows: int = 4096, query_rows: int = 1024, leaf:
     """A row for each block of the rows that ``dealt`` gives: its tree, and
     the mean of its points with the distance that covers them all."""
 
-    def packed(kind: bool, number: int, ids: list, rows: list[int], vectors: list) -> pa.RecordBatch:
-        x = _matrix(vectors, max(map(len, vectors), default=0))
+    def packed(kind: bool, number: int, held: list[tuple]) -> pa.RecordBatch:
+        width = max(x.shape[1] for *_, x in held)
+        ids, own = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        x = np.concatenate([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for *_, x in held])
         if x.size and np.abs(x).max() < 2**15:
             x = x.astype(np.int16)
-        tree = build(x, np.array([NONE if i is None else i for i in ids], np.int64), np.array(rows, np.int64), leaf)
         middle = x.astype(np.float64).mean(axis=0)
         d = x - middle
         reach = float(np.sqrt(np.einsum("ij,ij->i", d, d).max(initial=0)))
         kinds = {"query": pa.bool_(), "middle": pa.list_(pa.float64()), "reach": pa.float64(), "tree": pa.binary()}
         names = [c.split()[0] for c in BLOCKS.split(", ")]
-        values = [kind, number, len(ids), middle.tolist(), reach, pickle.dumps(tuple(tree), protocol=5)]
+        values = [kind, number, len(ids), middle.tolist(), reach, pickle.dumps(tuple(build(x, ids, own, leaf)), protocol=5)]
         return pa.RecordBatch.from_arrays([pa.array([v], kinds.get(n, pa.int64())) for n, v in zip(names, values, strict=True)], names=names)
 
     def run(batches):
         from pyspark import TaskContext
 
         task, made, last = TaskContext.get().partitionId(), 0, None
-        held: dict[bool, list[list]] = {False: [[], [], []], True: [[], [], []]}
+        held: dict[bool, list[tuple]] = {False: [], True: []}
+        most = {False: data_rows, True: query_rows}
+
+        def full(kind: bool, n: int) -> bool:
+            return bool(held[kind]) and sum(len(h[0]) for h in held[kind]) + n > most[kind]
+
         for batch in batches:
-            for grp, part, i, row, v, own in zip(*(batch.column(c).to_pylist() for c in ("grp", "part", "id", "row", "vector", "query")), strict=True):
+            group = np.stack([batch.column(c).to_numpy() for c in ("grp", "part")], axis=1)
+            ids = batch.column("id").fill_null(NONE).to_numpy()
+            own, asks, vectors = batch.column("row").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False), batch.column("vector")
+            lengths = np.diff(vectors.offsets.to_numpy())
+            # stretches of one group, one length, and no more rows than a block of queries has
+            cuts = np.flatnonzero((group[1:] != group[:-1]).any(axis=1) | (lengths[1:] != lengths[:-1])) + 1
+            edges = sorted({0, len(ids), *cuts.tolist(), *range(0, len(ids), min(most.values()))})
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                x = _stacked(vectors.slice(a, b - a), int(lengths[a]))
+                here = tuple(group[a])
                 for kind in (False, True):
-                    if held[kind][0] and ((grp, part) != last or len(held[kind][0]) >= (query_rows if kind else data_rows)):
-                        yield packed(kind, task << 32 | made, *held[kind])
-                        held[kind] = [[], [], []]
+                    pick = np.flatnonzero(asks[a:b]) if kind else np.arange(b - a)
+                    if here != last and held[kind] or full(kind, len(pick)):
+                        yield packed(kind, task << 32 | made, held[kind])
+                        held[kind] = []
                         made += 1
-                last = (grp, part)
-                for kind in (False, True) if own else (False,):
-                    for column, x in zip(held[kind], (i, row, v), strict=True):
-                        column.append(x)
+                    if len(pick):
+                        held[kind].append((ids[a:b][pick], own[a:b][pick], x[pick]))
+                last = here
         for kind in (False, True):
-            if held[kind][0]:
-                yield packed(kind, task << 32 | made, *held[kind])
+            if held[kind]:
+                yield packed(kind, task << 32 | made, held[kind])
                 made += 1
 
     return rows.repartition("grp", "part").sortWithinPartitions("grp", "part", "row").mapInArrow(run, BLOCKS)
