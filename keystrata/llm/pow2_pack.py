@@ -35,73 +35,83 @@ def lengths(n: int, full: int = 1024) -> list[int]:
     return [full] * (n // full) + [1 << b for b in range(bits.bit_length() - 1, -1, -1) if bits >> b & 1]
 
 
-def pack(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int = 0, full: int = 1024, with_ids: bool = False) -> DataFrame:
-    """One row per piece; bucket is the sequence's length. ``full`` is a power
-    of two. sequence_id holds the bucket's bit, the task and a count, so it is
-    unique and a repeated task gives the same one."""
+STORED = "doc_id long, start long, doc_tokens long, sequence_id long, offset long, bucket int, ids binary"
+
+
+def pieces(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int = 0, full: int = 1024) -> DataFrame:
+    """STORED rows, one per piece; ids are little-endian unsigned 32-bit
+    numbers. ``full`` is a power of two. sequence_id holds the bucket's bit,
+    the task and a count, so it is unique and a repeated task gives the same
+    one."""
     if full & (full - 1):
         raise ValueError("the full length must be a power of two")
     end = np.asarray([end_id], "<u4").tobytes()
-    schema = PIECES + (", ids array<int>" if with_ids else "")
+    names = [x.split()[0] for x in STORED.split(", ")]
 
     def run(batches):
         from pyspark import TaskContext
 
         task, made = TaskContext.get().partitionId(), 0
         for batch in text_slices(batches):
-            rows = {k: [] for k in ("doc_id", "start", "length", "crc", "total", "sequence")}
-            held = []
+            docs, totals, starts, sizes, held = [], [], [], [], []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer, keep_space).encode(batch.column("text").to_pylist()), strict=True):
                 ids += end
                 n = len(ids) // 4
                 at = 0
                 for size in lengths(n, full):
-                    piece = ids[4 * at : 4 * (at + size)]
-                    for k, v in zip(rows, (doc, at, size, zlib.crc32(piece), n, (size.bit_length() - 1) << 58 | task << 34 | made), strict=True):
-                        rows[k].append(v)
-                    if with_ids:
-                        held.append(piece)
-                    made += 1
+                    docs.append(doc)
+                    totals.append(n)
+                    starts.append(at)
+                    sizes.append(size)
+                    held.append(ids[4 * at : 4 * (at + size)])
                     at += size
-            columns = [pa.array(v, pa.int64()) for v in rows.values()]
-            columns += [pa.array(np.zeros(len(rows["doc_id"]), np.int64)), pa.array(rows["length"], pa.int32())]
-            if with_ids:
-                ends = np.concatenate(([0], np.cumsum(rows["length"]))).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32))))
-            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+            bucket = np.array(sizes, np.int64)
+            sequence = np.log2(bucket).astype(np.int64) << 58 | task << 34 | np.arange(made, made + len(sizes))
+            made += len(sizes)
+            columns = [pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array(totals, pa.int64()), pa.array(sequence), pa.array(np.zeros(len(sizes), np.int64)), pa.array(bucket.astype(np.int32)), pa.array(held, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return whole_texts(docs).mapInArrow(run, schema)
+    return whole_texts(docs).mapInArrow(run, STORED)
 
 
-def write_buckets(pieces: DataFrame, path: str) -> None:
-    """The pieces with their ids, a folder for each length."""
-    pieces.withColumn("sequence_length", F.col("bucket")).write.option("compression", "zstd").partitionBy("sequence_length").parquet(path)
+def digests(stored: DataFrame, with_ids: bool = False) -> DataFrame:
+    """A row per piece, its length and CRC-32 taken from its ids; bucket is the
+    sequence's length."""
+    schema = PIECES + (", ids array<int>" if with_ids else "")
+    names = [x.split()[0] for x in schema.split(", ")]
 
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("ids").to_pylist()
+            sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            own = {"length": pa.array(sizes), "ids_crc32": pa.array([zlib.crc32(x) for x in ids], pa.int64())}
+            if with_ids:
+                ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                own["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(n) for n in names], names=names)
 
-def read_buckets(spark: SparkSession, path: str, sequence_lengths: list[int] | None = None) -> DataFrame:
-    """Stored pieces; lengths that are not asked for are not opened."""
-    stored = spark.read.schema(PIECES + ", ids array<int>, sequence_length int").parquet(path)
-    return stored if sequence_lengths is None else stored.filter(F.col("sequence_length").isin(sequence_lengths))
+    return stored.select(*[x.split()[0] for x in STORED.split(", ")]).mapInArrow(run, schema)
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """The columns of PIECES, length and CRC-32 taken from the ids as stored."""
-    names = [x.split()[0] for x in PIECES.split(", ")]
+def pack(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int = 0, full: int = 1024, with_ids: bool = False) -> DataFrame:
+    """One row per piece, straight from the documents."""
+    return digests(pieces(docs, tokenizer, keep_space, end_id, full), with_ids)
 
-    def run(batches):
-        for batch in batches:
-            lists = batch.column("ids")
-            flat = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            at = lists.offsets.to_numpy()
-            own = {"length": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array([zlib.crc32(flat[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64())}
-            yield pa.RecordBatch.from_arrays([own[n] if n in own else batch.column(n) for n in names], names=names)
 
-    return pieces.select(*[n for n in names if n not in ("length", "ids_crc32")], "ids").mapInArrow(run, PIECES)
+def write_buckets(stored: DataFrame, path: str) -> None:
+    """The rows of ``pieces``, a folder for each length."""
+    stored.withColumn("sequence_length", F.col("bucket")).write.option("compression", "zstd").partitionBy("sequence_length").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, sequence_lengths: list[int] | None = None) -> DataFrame:
+    """Stored pieces; lengths that are not asked for are not opened."""
+    stored = spark.read.schema(STORED + ", sequence_length int").parquet(path)
+    return stored if sequence_lengths is None else stored.filter(F.col("sequence_length").isin(sequence_lengths))
 
 
 def packed(docs: DataFrame, tokenizer: str, keep_space: bool = True, end_id: int = 0, full: int = 1024) -> DataFrame:
     """The pieces of ``docs``, laid out by bucket in the shared folder and read
     back: a row for each, its length and CRC-32 taken from the stored ids."""
     path = shared_folder(docs.sparkSession)
-    write_buckets(pack(docs, tokenizer, keep_space, end_id, full, with_ids=True), path)
+    write_buckets(pieces(docs, tokenizer, keep_space, end_id, full), path)
     return digests(read_buckets(docs.sparkSession, path))

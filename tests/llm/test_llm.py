@@ -137,10 +137,10 @@ def test_op9(edges, nothing, full, tmp_path):
     assert sorted(map(str, laid.collect())) == sorted(map(str, pow2_pack.pack(edges, vocabulary("byte_bpe_50k.json"), full=full).collect()))
     assert pow2_pack.packed(nothing, vocabulary("byte_bpe_50k.json")).count() == 0
     if full == 64:
-        pow2_pack.write_buckets(pow2_pack.pack(edges, vocabulary("byte_bpe_50k.json"), full=full, with_ids=True), str(tmp_path / "b"))
+        pow2_pack.write_buckets(pow2_pack.pieces(edges, vocabulary("byte_bpe_50k.json"), full=full), str(tmp_path / "b"))
         assert {p.name for p in (tmp_path / "b").glob("sequence_length=*")} == {f"sequence_length={r.length}" for r in rows}
         some = pow2_pack.read_buckets(edges.sparkSession, str(tmp_path / "b"), [8, 16])
-        assert {r.length for r in some.collect()} <= {8, 16}
+        assert {r.bucket for r in some.collect()} <= {8, 16}
 
 
 # ------------------------------------------------------------------- media
