@@ -9,7 +9,8 @@ media column into rows with track, timestamp and byte range.
 Cases: a null media value gives no packets; bytes that break off or are not
 Matroska give the packets before the fault and a message in ``error``; in the
 round trip a null text counts as empty, whose payload is one block of zero
-bytes; rows that share a doc_id, or have none, stay separate; an empty table
+bytes; a value of any length is parsed whole; a file of several segments has
+its times and offsets by segment; rows that share a doc_id, or have none, stay separate; an empty table
 yields no rows; other columns are left out.
 """
 
@@ -66,10 +67,14 @@ CUE_TIME = 0xB3
 CUE_TRACK_POSITIONS = 0xB7
 CUE_TRACK = 0xF7
 CUE_CLUSTER_POSITION = 0xF1
+SEEK_HEAD = 0x114D9B74
+TAGS = 0x1254C367
+CHAPTERS = 0x1043A770
+ATTACHMENTS = 0x1941A469
 
 MASTERS = {SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS, EBML}
 #: What ends a cluster or a segment of unknown size.
-TOP = {CLUSTER, CUES, INFO, TRACKS, SEGMENT, EBML}
+TOP = {CLUSTER, CUES, INFO, TRACKS, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS, SEGMENT, EBML}
 
 RATE, FRAME, LACED, BLOCKS = 8000, 512, 8, 8  # samples a second, bytes a frame, frames a block, blocks a cluster
 
@@ -216,22 +221,24 @@ def parse(data: bytes) -> Media:
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     # clusters, cues and tracks may come in any order: scale and durations are applied at the end
-    state = {"scale": 10**6, "base": 0, "cluster": 0, "segment": 0, "clusters": -1}
-    blocks: list[tuple[int, int, bool, int, list[tuple[int, int]]]] = []
-    raw_cues: list[dict] = []
+    state = {"base": 0, "segment": 0, "part": -1, "clusters": -1}
+    blocks: list[tuple[int, int, bool, int, list[tuple[int, int]], int]] = []
+    raw_cues: list[tuple[dict, int, int]] = []  # with the segment's first byte and number
+    scales: dict[int, int] = {}
+    steps: dict[tuple[int, int], int] = {}  # a frame's duration by segment and track
 
     def block(at: int, end: int, simple: bool) -> None:
         track, at, _ = _vint(data, at, end, False)
         if at + 3 > end:
             raise ValueError(f"broken off at {at}")
         ticks, flags = struct.unpack_from(">hB", data, at)
-        blocks.append((track, state["base"] + ticks, bool(flags & 0x80) if simple else True, state["clusters"], _frames(data, at + 3, end, flags >> 1 & 3)))
+        blocks.append((track, state["base"] + ticks, bool(flags & 0x80) if simple else True, state["clusters"], _frames(data, at + 3, end, flags >> 1 & 3), state["part"]))
 
     def inside(at: int, end: int, owner: int, here: dict) -> int:
         while at < end:
             start = at
             i, at, _ = _vint(data, at, end, True)
-            if owner == CLUSTER and i in TOP and here.get("open"):
+            if here.get("open") and (owner == CLUSTER and i in TOP or owner == SEGMENT and i in (SEGMENT, EBML)):
                 return start
             n, at, unknown = _vint(data, at, end, False)
             stop = end if unknown else at + n
@@ -239,6 +246,7 @@ def parse(data: bytes) -> Media:
                 raise ValueError(f"element {i:x} at {start} is longer than what holds it")
             if i == SEGMENT:
                 state["segment"] = at
+                state["part"] += 1
             elif i == CLUSTER:
                 state["clusters"] += 1
                 state["base"] = 0
@@ -247,16 +255,17 @@ def parse(data: bytes) -> Media:
                 at = inside(at, stop, i, own)
                 if i == TRACK_ENTRY:
                     tracks[own.get(TRACK_NUMBER, 0)] = own
+                    steps[state["part"], own.get(TRACK_NUMBER, 0)] = own.get(DEFAULT_DURATION, 0)
                 elif i == AUDIO:
                     here.update(own)
                 elif i == CUE_TRACK_POSITIONS:
                     here.setdefault("positions", []).append(own)
                 elif i == CUE_POINT:
-                    raw_cues.extend({CUE_TIME: own.get(CUE_TIME, 0), **p} for p in own.get("positions", []))
+                    raw_cues.extend(({CUE_TIME: own.get(CUE_TIME, 0), **p}, state["segment"], state["part"]) for p in own.get("positions", []))
                 elif i == BLOCK_GROUP and REFERENCE_BLOCK in own and blocks:
                     blocks[-1] = (*blocks[-1][:2], False, *blocks[-1][3:])
                 elif i == INFO:
-                    state["scale"] = own.get(TIMESTAMP_SCALE, state["scale"])
+                    scales[state["part"]] = own.get(TIMESTAMP_SCALE, 10**6)
                 continue
             if i in (SIMPLE_BLOCK, BLOCK):
                 block(at, stop, i == SIMPLE_BLOCK)
@@ -278,12 +287,11 @@ def parse(data: bytes) -> Media:
         inside(0, len(data), 0, {})
     except (ValueError, RecursionError) as e:
         error = str(e)
-    scale = state["scale"]
-    for track, ticks, key, cluster, ranges in blocks:
-        step = tracks.get(track, {}).get(DEFAULT_DURATION, 0)
+    for track, ticks, key, cluster, ranges, part in blocks:
+        step, scale = steps.get((part, track), 0), scales.get(part, 10**6)
         packets += [Packet(track, ticks * scale + k * step, at, n, key, cluster, k) for k, (at, n) in enumerate(ranges)]
-    for c in raw_cues:
-        cues.append((c[CUE_TIME] * scale, c.get(CUE_TRACK, 0), state["segment"] + c.get(CUE_CLUSTER_POSITION, 0)))
+    for c, first, part in raw_cues:
+        cues.append((c[CUE_TIME] * scales.get(part, 10**6), c.get(CUE_TRACK, 0), first + c.get(CUE_CLUSTER_POSITION, 0)))
     return Media(tracks, packets, cues, error)
 
 
@@ -338,8 +346,9 @@ def feature(samples: bytes, media: Media) -> str:
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Rebuild each payload from its packets' byte ranges and describe it."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    """Rebuild each payload from its packets' byte ranges and describe it; a
+    cue that does not point at a cluster is an error."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_packets long, n_cues long"
 
     def each(batch):
         out = []
@@ -347,8 +356,10 @@ def media_digests(media: DataFrame) -> DataFrame:
             m = parse(data)
             if m.error:
                 raise ValueError(m.error)
+            if any(data[at : at + 4] != _id(CLUSTER) for *_, at in m.cues):
+                raise ValueError("a cue points beside its cluster")
             payload = b"".join(data[p.offset : p.offset + p.length] for p in m.packets)
-            out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, m)))
+            out.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(payload, m), len(m.packets), len(m.cues)))
         kinds = [pa.string() if x.split()[1] == "string" else pa.int64() for x in schema.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 

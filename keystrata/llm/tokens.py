@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -43,8 +44,11 @@ _LETTER_OF_BYTE = _byte_letters()
 
 
 def byte_level(piece: str) -> str:
-    if piece.isascii() and piece.isalnum():
-        return piece
+    if piece.isascii():
+        if piece.isalnum():
+            return piece
+        if piece[0] == " " and piece[1:].isalnum():
+            return _LETTER_OF_BYTE[32] + piece[1:]
     return piece.encode().decode("latin-1").translate(_LETTER_OF_BYTE)
 
 
@@ -109,7 +113,8 @@ class Encoder:
 
     def _ids(self, pre_token) -> bytes:
         letters = pre_token[0] if isinstance(pre_token, tuple) else byte_level(pre_token)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(letters)], "<u4").tobytes()
+        ids = [t.id for t in self.tokenizer.model.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.known.begin()

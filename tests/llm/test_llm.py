@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import struct
 import zlib
 from functools import lru_cache
 
@@ -182,6 +183,23 @@ def test_matroska_forms():
     assert all(unknown[p.offset : p.offset + p.length] == sample for p in m.packets)
 
 
+def test_matroska_of_several_segments():
+    one, two = matroska.mux(bytes(range(250)) * 60), matroska.mux(b"z" * 40_000)
+    whole = matroska.parse(one + two)
+    parts = [matroska.parse(one), matroska.parse(two)]
+    assert whole.error is None
+    assert [c[0] for c in whole.cues] == [c[0] for p in parts for c in p.cues]
+    assert [c[2] for c in whole.cues] == [c[2] for c in parts[0].cues] + [len(one) + c[2] for c in parts[1].cues]
+    assert all((one + two)[c[2] : c[2] + 4] == matroska._id(matroska.CLUSTER) for c in whole.cues)
+    assert [(p.offset, p.length, p.timestamp_ns) for p in whole.packets] == [(p.offset + at, p.length, p.timestamp_ns) for at, m in ((0, parts[0]), (len(one), parts[1])) for p in m.packets]
+    # a cluster of unknown size ends where tags, chapters, attachments or a seek head begin
+    for top in (matroska.TAGS, matroska.CHAPTERS, matroska.ATTACHMENTS, matroska.SEEK_HEAD):
+        block = matroska._element(matroska.SIMPLE_BLOCK, b"\x81" + struct.pack(">hB", 0, 0x80) + b"sample")
+        data = matroska._HEAD + matroska._id(matroska.SEGMENT) + b"\x01\xff\xff\xff\xff\xff\xff\xff" + matroska._id(matroska.CLUSTER) + b"\xff" + matroska._uint(matroska.TIMESTAMP, 3) + block + matroska._element(top, b"\xa3\x81x") + matroska._element(matroska.CLUSTER, matroska._uint(matroska.TIMESTAMP, 9) + block)
+        m = matroska.parse(data)
+        assert m.error is None and [(p.cluster, p.timestamp_ns) for p in m.packets] == [(0, 3_000_000), (1, 9_000_000)]
+
+
 def test_packet_tables(spark):
     data = matroska.mux(bytes(5000))
     media = spark.createDataFrame([(1, data), (2, None), (3, b"not media"), (4, data[:3000]), (5, b"")], "doc_id long, media binary")
