@@ -760,3 +760,45 @@ def test_pipeline(spark):
     coder = encoder(vocabulary("byte_bpe_50k.json"), True)
     tokens = sum(len(coder.whole([r.text])[0]) // 4 + 1 for r in mixed.collect())
     assert corpus_pipeline.run(spark, SF).agg(F.sum("length")).first()[0] == tokens
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_pipeline_on_edge_rows(spark, edges, nothing, tmp_path):
+    """Nulls, empty and long texts, repeated rows and ids and clashing columns
+    through all stages, each held against brute force on its own input."""
+    import corpus_pipeline
+
+    folder = f"file://{tmp_path}"
+    known = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = known.unionByName(edges.withColumn("doc_id", F.col("doc_id") + 100_000), allowMissingColumns=True)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    every = lambda df: sorted(map(repr, df.collect()))
+    kept = corpus_pipeline.materialize(corpus_pipeline.quality(spark, docs, folder))
+    scores = ftrl_quality.scored(docs, spark.read.parquet(f"{folder}/labels.parquet")).collect()
+    assert kept.schema == docs.schema and sorted((r.doc_id or 0) for r in kept.collect()) == sorted((r.doc_id or 0) for r in scores if r.score >= 0.7)
+    kept = kept.unionByName(edges)  # whatever the classifier did, the next stages see them
+    single = corpus_pipeline.materialize(corpus_pipeline.near_dedup(spark, kept, folder))
+    rows = kept.collect()
+    order = sorted(range(len(rows)), key=lambda k: (rows[k].doc_id is None, rows[k].doc_id or 0, k))
+    groups = brute_groups([(n, rows[k].text) for n, k in enumerate(order)])
+    assert single.columns == docs.columns
+    assert sorted(((r.doc_id or 0), r.text or "") for r in single.collect()) == sorted(((rows[order[n]].doc_id or 0), rows[order[n]].text or "") for n, _, c in groups if n == c)
+    clean = corpus_pipeline.materialize(corpus_pipeline.secrets(spark, single, folder))
+    found = {(r.doc_id, r.redacted_sha256) for r in secret_forest.findings(single).collect()}
+    assert clean.schema == single.schema and {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in clean.collect()} == found
+    mixed = corpus_pipeline.materialize(corpus_pipeline.mixing(spark, clean, folder))
+    assert set(every(mixed)) == set(every(clean)) and mixed.schema == clean.schema and mixed.count() >= clean.count()
+    pieces = corpus_pipeline.packing(spark, mixed, folder).collect()
+    coder, want = encoder(vocabulary("byte_bpe_50k.json"), True), []
+    for r in mixed.collect():
+        ids, at = coder.whole([r.text or ""])[0] + bytes(4), 0
+        for size in pow2_pack.lengths(len(ids) // 4):
+            want.append((r.doc_id or 0, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)]), len(ids) // 4))
+            at += size
+    assert sorted((p.doc_id or 0, p.start, p.length, p.ids_crc32, p.doc_tokens) for p in pieces) == sorted(want)
+    assert len({p.sequence_id for p in pieces}) == len(pieces)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, nothing, folder)
+        assert out.count() == 0 and (name == "packing" or out.columns == nothing.columns)
